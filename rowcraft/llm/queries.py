@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowcraft.llm import mixing, packing, quality_rules, sharding, simhash, substring_dedup
+from rowcraft.llm import html_extract, langid, mixing, packing, perplexity, quality_rules, sharding, simhash, spotsigs, substring_dedup
 from rowcraft.llm.quality_rules import STOP_WORDS
 from rowcraft.llm.support import table
 
@@ -48,6 +48,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _OP1_SQL = f"""
 WITH d AS (SELECT doc_id, text, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln
@@ -91,7 +109,7 @@ FROM r
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_perplexity": op7_perplexity, "op8_html_extraction": op8_html_extraction, "op9_spotsigs": op9_spotsigs, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
