@@ -24,12 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowcraft.llm.support import words
+from rowcraft.llm.support import materialise, words
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
 SEED = "mix-1"
 
+#: Up to so many sources their table goes to every task, so that documents stay
+#: where they are; beyond it they are joined by source.
+MOST_BROADCAST_SOURCES = 50_000
+
 #: Bits of a draw; a double holds them exactly.
 _DRAW_BITS = 52
 
@@ -69,8 +73,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int =
     sized = docs.select(
         F.col("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"), draw(seed).alias("_draw"), row.alias("_row")
     )
-    goal = targets(sized.select("source", "size"), weights, max_rate)
-    joined = sized.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    goal = materialise(targets(sized.select("source", "size"), weights, max_rate), "targets").withColumnRenamed("source", "_source")
+    if goal.count() <= MOST_BROADCAST_SOURCES:
+        goal = F.broadcast(goal)
+    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     n = whole + F.when(F.col("_draw") < rate - whole, 1).otherwise(0)

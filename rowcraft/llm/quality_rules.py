@@ -60,8 +60,7 @@ def _repeat_words(tokens: Column) -> Column:
 
     Windows are hashed and sorted as longs (hash above, position below), so
     equal windows are neighbours. The few positions whose hash repeats are
-    then compared as text, which makes the count exact. ``bit_xor`` free: the
-    whole is array functions on one row.
+    then compared as text, which makes the count exact.
     """
     last = F.size(tokens) - F.lit(3)
     at = lambda i: F.xxhash64(tokens[i], tokens[i + 1], tokens[i + 2])
@@ -150,4 +149,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     names = docs.columns
     # Judged beside the row, so that columns with clashing names survive.
     judged = judge(docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), rules)
-    return judged.filter("kept").select("_row.*")
+    # The filter reads a row number too, which keeps it above the projections:
+    # pushed below, it would repeat every measure each time one is used.
+    return judged.withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")

@@ -237,9 +237,13 @@ def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """``_row`` (the input's row), n_words, n_removed and the kept words."""
     runs = kept_runs(docs, window, mer, hot_windows)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    whole = _keyed(docs, row) if docs.columns != ["doc_id", "text"] else _keyed(docs)
-    joined = whole.join(runs, ["doc", "text_key"], "left").withColumn("_words", words(F.col("body")))
+    if docs.columns == ["doc_id", "text"]:
+        # The same exchange of texts as in ``kept_runs``, so Spark reuses it.
+        whole, text = _keyed(docs), F.col("body")
+    else:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+        whole, text = _keyed(docs, row).drop("body"), F.col("_row.text")
+    joined = whole.join(runs, ["doc", "text_key"], "left").withColumn("_words", words(text))
     left = F.flatten(F.transform("runs", lambda r: F.slice("_words", r["first"], r["length"])))
     joined = joined.withColumn("_kept", F.when(F.col("runs").isNull(), F.col("_words")).otherwise(left))
     if "_row" not in joined.columns:
