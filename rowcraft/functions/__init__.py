@@ -1 +1 @@
-"""Functions."""
+"""Predicates and conversions as Spark expressions."""

@@ -1 +1 @@
-"""Operators."""
+"""Entity maps, reading, shaping and saving of tables."""

@@ -1 +1 @@
-"""Sources."""
+"""Named sources, text files and generated maps."""

@@ -1 +1 @@
-"""Streaming."""
+"""Entity maps on Structured Streaming."""
