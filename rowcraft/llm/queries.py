@@ -88,6 +88,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+own AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+lost AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN own USING (g), range(0, 50) r(k) WHERE m < doc_id),
+left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+              FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM lost GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 _OP5_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
                   ('0x' || substr(md5('{mixing.SEED}' || chr(31) || coalesce(doc_id::VARCHAR, 'null') || chr(31) || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
@@ -113,4 +125,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1_SQL, "op5_mixing": _OP5_SQL}
+    return {"op1_quality_rules": _OP1_SQL, "op4_substring_dedup": _OP4_SQL, "op5_mixing": _OP5_SQL}

@@ -127,4 +127,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataF
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle, seed)
     dropped = found.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
