@@ -227,12 +227,27 @@ def outcomes(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str = "
     return joined.withColumn("outcome", outcome).drop("_keys", "_hits", "_s", "_n", "_o")
 
 
-def save(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str = "changed", affect: str = "changed", select_back: bool = True, null_text: str | None = None) -> tuple[DataFrame, DataFrame]:
+def save(
+    base: DataFrame,
+    of: EntityMap,
+    batch: DataFrame,
+    criteria: str = "changed",
+    affect: str = "changed",
+    select_back: bool = True,
+    null_text: str | None = None,
+    before_save: Callable[[DataFrame], DataFrame | None] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(next state of the table, outcomes). Deletes come first.
 
     ``affect`` writes the changed fields only, or all. A changed key is matched
     by its original. Rows that conflict or fail leave the table as it was.
+    ``before_save`` sees the batch and may return another, or None to cancel.
     """
+    if before_save is not None:
+        allowed = before_save(batch)
+        if allowed is None:
+            return base, batch.withColumn("outcome", F.lit(SKIPPED))
+        batch = allowed
     judged = outcomes(base, of, batch, criteria, select_back)
     good = judged.filter(F.col("outcome") == SUCCESS)
     keys = of.all_keys
@@ -255,6 +270,27 @@ def save(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str = "chan
     return kept.unionByName(_new_rows(base, of, added, null_text)), judged
 
 
+def read_back(state: DataFrame, of: EntityMap, judged: DataFrame, what: str = "all") -> DataFrame:
+    """Saved rows as they are stored now, by their keys.
+
+    ``what`` is "all" fields, "made" ones (identity and version) or those that
+    the batch left "unchanged" (null where it changed them); keys are always
+    there. Rows whose key was made by the insert are found by the new state only.
+    """
+    saved = judged.filter((F.col("outcome") == SUCCESS) & (F.col("_state") != DELETED)).select("_new", "_orig").distinct()
+    met = state.join(saved, [F.col(quoted(f.source)) == F.col(f"_new.{quoted(f.source)}") for f in of.all_keys])
+    out = []
+    for f in of.readable:
+        if f.expression or f.source not in state.columns:
+            continue
+        value = F.col(quoted(f.source))
+        if f.key or f.partition or what == "all" or (f.identity or f.row_version):
+            out.append(value.alias(f.name))
+        elif what == "unchanged":
+            out.append(F.when(~_changed(f), value).alias(f.name))
+    return met.select(*out)
+
+
 def save_table(base: DataFrame, of: EntityMap, rows: DataFrame) -> DataFrame:
     """Next state from rows with a ``_state``, by key alone; last write wins."""
     stored = [f for f in of.fields if not f.expression]

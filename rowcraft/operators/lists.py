@@ -6,7 +6,8 @@ The first form of each is a DataFrame, so that shaping runs in Spark; the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,11 @@ def xml_document(df: DataFrame, root_tag: str = "rows", row_tag: str = "row") ->
     return f"<{root_tag}>{body}</{root_tag}>"
 
 
+def split(values: Iterable[Any], size: int = 2000) -> Iterator[tuple]:
+    """Values in lists of at most ``size``; Spark needs none, other systems may."""
+    return batched(values, size)
+
+
 def scalar(df: DataFrame) -> Any:
     """First column of the first row, None if there is none."""
     row = df.select(_nth(df, 0)).limit(1).collect()

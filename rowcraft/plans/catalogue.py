@@ -371,6 +371,11 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.changes(new, read, ORDERS3)
 
 
+def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, judged = dml.save(_orders(spark, sf_dir), ORDERS3, _edits(spark, sf_dir))
+    return dml.read_back(state, ORDERS3, judged, "unchanged")
+
+
 _add(
     "dml_update_rows",
     lambda s, d: dml.update_rows(_orders(s, d), ORDERS3, {"o_orderstatus": "X", "o_totalprice": lambda o: o.o_totalprice * 2}, lambda o: o.o_totalprice > 300000),
@@ -402,6 +407,11 @@ _add(
     lambda s, d: dml.save(_orders(s, d), ORDERS3, _edits(s, d))[0],
     f"SELECT o_orderkey, o_orderstatus, CASE WHEN {_SMALL} AND o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice FROM orders",
 )
+_add(
+    "dml_read_back",
+    _read_back,
+    f"SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS o_totalprice FROM orders WHERE {_SMALL} AND o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0",
+)
 _add(
     "audit_changes",
     lambda s, d: audit.audit(_edits(s, d), ORDERS3).filter("key % 9 <> 0").select("key", "state", "property", F.col("new").cast("double").alias("new")),

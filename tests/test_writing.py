@@ -79,6 +79,18 @@ def test_row_versions(zoo):
         outcome(zoo["Animal"], ANIMAL, dml.changes(zoo["Animal"], zoo["Animal"], ANIMAL), "version")
 
 
+def test_hooks_and_read_back(zoo):
+    base = zoo["Exhibit"]
+    one = base.filter("ExhibitId = 1")
+    batch = dml.changes(edit(one, Capacity=9), one, EXHIBIT)
+    state, judged = dml.save(base, EXHIBIT, batch, before_save=lambda b: None)
+    assert state is base and [r.outcome for r in judged.collect()] == ["Skipped"]
+    state, judged = dml.save(base, EXHIBIT, batch, before_save=lambda b: b)
+    assert [tuple(r) for r in dml.read_back(state, EXHIBIT, judged).collect()] == [(1, "Bamboo", 9, True, 2)]
+    assert [tuple(r) for r in dml.read_back(state, EXHIBIT, judged, "made").collect()] == [(1, 2)]
+    assert [tuple(r) for r in dml.read_back(state, EXHIBIT, judged, "unchanged").collect()] == [(1, "Bamboo", None, True, 2)]
+
+
 def test_collection_save(spark, zoo):
     a = [Tracked(ANIMAL, r) for r in zoo["Animal"].orderBy("AnimalId").collect()]
     a[0].Weight = Decimal("96.00")
