@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.operators.entity import quoted
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -161,7 +162,7 @@ def read_strict(spark: SparkSession, path: str, record: TextRecord, line_filter:
                 made = [split_line(line, delimiter, qualifier) for k, line in rows if line and (line_filter is None or line_filter(k, line))]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.string()))], ["cells"])
 
-    cells = lines.mapInArrow(run, "cells array<string>")
+    cells = map_arrow(lines, run, "cells array<string>")
     return cells.select(*[_typed(f, F.get("cells", F.lit(p))) for f, p in zip(record.fields, positions, strict=True)])
 
 
