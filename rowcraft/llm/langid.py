@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.support import materialise
 
-DIM = 1 << 14
+DIM_BITS = 14
+DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
 EPOCHS = 3
@@ -65,7 +67,7 @@ def ngrams(text: str) -> np.ndarray | None:
         if n < 1:
             break
         gram = gram[:n] * np.uint64(0x100000001B3) + codes[order - 1 :][:n] + np.uint64(order)
-        found.append((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14))
+        found.append((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIM_BITS))
     return np.concatenate(found).astype(np.int64)
 
 
@@ -164,7 +166,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows of (text, lang), doc_id choosing the sample."""
     spark = labelled.sparkSession
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counted = materialise(known.select("text", "lang").mapInArrow(_frequencies, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")), "document-frequencies")
+    counted = materialise(map_arrow(known.select("text", "lang"), _frequencies, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")), "document-frequencies")
     sizes = {r["lang"]: r["n"] for r in counted.filter(F.col("col") == DIM).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
@@ -200,8 +202,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             )
 
     # The sample is bounded, so one task may fit on all of it.
-    encoded = sample.selectExpr("cast(doc_id as long) as doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, columns array<long>, values array<double>")
-    learnt = encoded.repartition(1).mapInArrow(learn, "weights binary, temperature double").first()
+    encoded = map_arrow(sample.selectExpr("cast(doc_id as long) as doc_id", "text", "lang"), vectors, "doc_id long, lang string, columns array<long>, values array<double>")
+    learnt = map_arrow(encoded.repartition(1), learn, "weights binary, temperature double").first()
     return Model(languages, idf, np.frombuffer(learnt["weights"]).reshape(DIM, len(languages)), learnt["temperature"])
 
 
@@ -213,4 +215,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             made = [model.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, lang_pred string, score double")

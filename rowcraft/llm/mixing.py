@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowcraft.llm.support import materialise, words
+from rowcraft.llm.support import to_every_task, words
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
@@ -73,9 +73,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int =
     sized = docs.select(
         F.col("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"), draw(seed).alias("_draw"), row.alias("_row")
     )
-    goal = materialise(targets(sized.select("source", "size"), weights, max_rate), "targets").withColumnRenamed("source", "_source")
-    if goal.count() <= MOST_BROADCAST_SOURCES:
-        goal = F.broadcast(goal)
+    goal = targets(sized.select("source", "size"), weights, max_rate).withColumnRenamed("source", "_source")
+    goal = to_every_task(goal, "targets", MOST_BROADCAST_SOURCES)
     joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)

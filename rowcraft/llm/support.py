@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +32,24 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rowcraft-')}"
+        own = tempfile.mkdtemp(prefix="rowcraft-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_written: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what ``materialise`` wrote; call it once results are stored."""
+    context = spark.sparkContext
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -44,4 +59,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def to_every_task(df: DataFrame, label: str, most_rows: int) -> DataFrame:
+    """A table computed once, marked for broadcast if it is small enough.
+
+    Its rows are counted; above ``most_rows`` it is joined like any other, and
+    Spark splits a skewed side.
+    """
+    found = materialise(df, label)
+    return F.broadcast(found) if found.count() <= most_rows else found
