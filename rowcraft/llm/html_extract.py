@@ -28,6 +28,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowcraft.functions.arrow import map_arrow
+
 # Elements by what they do to text.
 _SILENT = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map head title select option datalist textarea button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,4 +269,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             )
 
     narrow = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "cast(html as string) as html")
-    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(narrow, run, "page_id long, url string, text string, n_chars long")

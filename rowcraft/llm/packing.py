@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.differencing import windows
 
 CAPACITY = 2048
@@ -131,4 +132,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, group: i
         packer.finish()
         yield packer.flush()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, SCHEMA)

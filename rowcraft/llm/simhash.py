@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm import bitslice
 from rowcraft.llm.components import components
 from rowcraft.llm.support import materialise
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             made = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as binary) as text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as binary) as text"), run, "doc_id long, fp long")
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select(F.col("k.choice").cast("long").alias("choice"), "k.key", "fp")
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(partitions, "choice", "key").sortWithinPartitions("choice", "key")
-    return dealt.mapInArrow(_bucket_links, "u long, v long").distinct()
+    return map_arrow(dealt, _bucket_links, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

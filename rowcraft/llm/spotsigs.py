@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.quality_rules import STOP_WORDS
 
 CHAIN = 2
@@ -149,7 +150,7 @@ def compare_with_edits(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 out = []
 
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).select("place", "guest", "key", "body").mapInArrow(run, fields)
+    return map_arrow(with_next(docs).select("place", "guest", "key", "body"), run, fields)
 
 
 def _row(own: tuple, following: tuple, chain: int) -> tuple:
@@ -174,7 +175,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tupl
             made = [signatures(t.as_py() or "", chain).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "spots"])
 
-    sets = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, spots array<long>")
+    sets = map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, spots array<long>")
     sets = sets.withColumn("set_key", F.sha2(F.array_join(F.transform("spots", lambda s: s.cast("string")), ","), 256))
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("spots").alias("spots"))
     members = sets.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")

@@ -1,10 +1,12 @@
 """The pipeline against its stages by brute force, and its registration."""
 
+import os
 import struct
 
 import pytest
 
 import __spark_entry__
+from rowcraft.llm import support
 from tests.llm.conftest import made
 from tests.llm.test_operators import brute_fingerprint, measured, removed
 
@@ -62,3 +64,11 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_scratch_is_dropped(spark, tmp_path):
+    found = support.materialise(spark.range(3), "numbers")
+    path = found.inputFiles()[0].removeprefix("file://")
+    assert found.count() == 3 and os.path.exists(path)
+    support.drop_scratch(spark)
+    assert not os.path.exists(path)
