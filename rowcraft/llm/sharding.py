@@ -13,7 +13,7 @@ number set by parameters, whatever the number of rows. Ranks come from counts of
 small cells (an arc cut by hash) and a sort within each cell.
 
 Rows that agree in all that is known of them are counted before anything is
-shuffled, so a row repeated for a third of the table is one row with a count.
+shuffled, so a row repeated for a third of the table is a few rows with counts.
 
 Defined results
     null text: size 1 (no bytes plus 1), CRC-32 of the empty text.
@@ -100,7 +100,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS) -> D
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = alike.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32"))
+    # A row repeated without end is cut into chunks that spread over the ring.
+    last = F.floor((F.col("_n") - 1) / CELL_ROWS)
+    chunks = alike.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    chunks = chunks.withColumn("_n", F.least(F.lit(CELL_ROWS).cast("long"), F.col("_n") - F.col("_chunk") * CELL_ROWS))
+    keyed = chunks.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32", "_chunk")).drop("_chunk")
     keyed = materialise(keyed.withColumn("_arc", arc("_key")), "shard-keys")
     per_arc = {r["_arc"]: r["n"] for r in keyed.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     counts = [per_arc.get(a, 0) for a in range(len(owners))]

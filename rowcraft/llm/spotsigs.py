@@ -9,7 +9,8 @@ prunes a comparison before the sets are read.
 ``with_next`` pairs each document with the next in descending order of
 ``doc_id``. Documents are dealt to ranges of ``doc_id`` and sorted there; the
 first document of a range also goes to the range before it, so no order over
-the whole table is ever built and each text is shuffled once.
+the whole table is ever built and each text is shuffled once. Documents of one
+very frequent ``doc_id`` are split among ranges by the hash that orders them.
 
 Defined results
     null or empty text: 0 characters; the fingerprint of the empty text.
@@ -103,13 +104,17 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     # Only the balance of the ranges depends on these, not the result.
     points = [k / ranges for k in range(1, ranges)]
     cuts = rows.agg(F.percentile_approx("key", points, 10 * ranges)).first()[0] if points else []
-    edges = np.unique(np.array(cuts or [], dtype=np.int64))
+    edges = np.sort(np.array(cuts or [], dtype=np.int64))
 
     @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, keys.to_numpy(dtype=np.int64), side="right")).astype("int32")
-
-    placed = rows.withColumn("tie", F.xxhash64("body")).withColumn("place", place("key"))
+    def place(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        k = keys.to_numpy(dtype=np.int64)
+        below, upto = np.searchsorted(edges, k, side="left"), np.searchsorted(edges, k, side="right")
+        # A key that fills several ranges is split among them by its ties.
+        part = np.floor((ties.to_numpy(dtype=np.float64) / 2.0**64 + 0.5) * (upto - below)).astype(np.int64) + 1
+        return pd.Series(len(edges) - below - np.minimum(part, upto - below)).astype("int32")
+
+    placed = rows.withColumn("tie", F.xxhash64("body")).withColumn("place", place("key", "tie"))
     # One row a range: the first of it, and the range that needs it as a guest.
     heads = placed.groupBy("place").agg(F.max(F.struct("key", "tie")).alias("head"))
     found = sorted((r["place"], r["head"]["key"], r["head"]["tie"]) for r in heads.collect())

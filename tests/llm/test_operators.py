@@ -81,6 +81,13 @@ def test_sharding_law(odd, none, shards):
     assert sharding.assign(none, shards, 16).count() == 0
 
 
+def test_sharding_of_one_row_repeated(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.assign(rows, 4, 8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {tuple(r) for r in got} == {(s, 750, 750, 749) for s in range(4)}
+
+
 def test_sharding_moves_little(spark):
     rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     a, b = (sharding.assign(rows, n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (16, 17))
@@ -294,6 +301,14 @@ def test_spotsigs_next_wraps_at_any_partitioning(spark):
         assert sum(not r.guest for r in found) == 300
     got = {r.doc_id: r.edited_sha256 for r in spotsigs.compare_with_edits(docs).collect()}
     assert got == {d: hashlib.sha256(spotsigs.edited(t, texts[(d - 1) % 300]).encode()).hexdigest() for d, t in texts.items()}
+    hot = docs.withColumn("doc_id", F.when(F.col("doc_id") > 100, 150).otherwise(F.col("doc_id")))
+    found = spotsigs.with_next(hot, 20).filter("not guest").collect()
+    assert len(found) == 300 and len({r.place for r in found if r.key == 150}) > 10
+    ordered = sorted(found, key=lambda r: (-r.key, -r.tie))
+    assert [r.place for r in ordered] == sorted(r.place for r in found)
+    following = [b.body for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)]
+    expected = sorted((r.key, hashlib.sha256(spotsigs.edited(r.body, n).encode()).hexdigest()) for r, n in zip(ordered, following, strict=True))
+    assert sorted((r.doc_id, r.edited_sha256) for r in spotsigs.compare_with_edits(hot).collect()) == expected
     one = docs.filter("doc_id = 5")
     assert spotsigs.compare_with_edits(one).first().near_next == 1.0
 
