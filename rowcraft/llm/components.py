@@ -5,9 +5,9 @@ shrinks or stays; a round that changes nothing ends the loop. Each round is
 written to the shared folder, so the plan does not grow and a lost executor
 costs one round at most. The driver sees only a count and a checksum.
 
-Minima are aggregated before they are shuffled, and a vertex with very many
-edges meets its minimum in a join, which Spark splits when it is skewed. No
-list of neighbours is ever built.
+Minima are aggregated before they are shuffled, and written, so that a vertex
+with very many edges meets its minimum in a join of plain exchanges, which Spark
+splits when it is skewed. No list of neighbours is ever built.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from rowcraft.llm.support import materialise
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

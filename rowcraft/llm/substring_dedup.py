@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.support import materialise, words
 
 WINDOW = 50
@@ -41,6 +42,9 @@ MER = 8
 #: A minimiser with more windows is handled window by window.
 HOT_WINDOWS = 200_000
 
+#: Packed strings that a task holds before it passes them on.
+_BATCH_BYTES = 4 << 20
+
 #: Stands for a null ``doc_id``.
 _LAST = (1 << 63) - 1
 
@@ -96,25 +100,36 @@ def _places(docs: DataFrame, window: int, mer: int) -> DataFrame:
                     [pa.array(least), pa.array(doc), pa.array(key), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["minimiser", "doc", "text_key", "start", "n"]
                 )
 
-    return _keyed(docs).withColumn("body", F.col("body").cast("binary")).mapInArrow(run, _PLACES)
+    return map_arrow(_keyed(docs).withColumn("body", F.col("body").cast("binary")), run, _PLACES)
 
 
 def _pieces(batch: pa.RecordBatch, window: int):
-    """(row, document, key, [(minimiser, start, words)]) from text and places."""
-    for doc, key, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+    """(document, key, pieces) of each row; a piece is (minimiser, start, words)."""
+    for row in range(batch.num_rows):
+        doc, key, text, places = (batch.column(k)[row].as_py() for k in range(4))
         tokens = text.split()
-        yield doc, key, [(p["minimiser"], p["start"], tokens[p["start"] : p["start"] + p["n"] + window - 1]) for p in places]
+        yield doc, key, ((p["minimiser"], p["start"], tokens[p["start"] : p["start"] + p["n"] + window - 1]) for p in places)
 
 
 def _pack(window: int):
     schema = pa.schema([("minimiser", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(m, doc, key, start, b" ".join(tokens)) for doc, key, pieces in _pieces(batch, window) for m, start, tokens in pieces]
-            for low in range(0, len(rows), 10_000):
-                columns = zip(*rows[low : low + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            rows, held = [], 0
+            for doc, key, pieces in _pieces(batch, window):
+                for minimiser, start, tokens in pieces:
+                    packed = b" ".join(tokens)
+                    rows.append((minimiser, doc, key, start, packed))
+                    held += len(packed)
+                    if held > _BATCH_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return run, "minimiser long, doc long, text_key long, start int, packed binary"
 
@@ -211,7 +226,9 @@ def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = materialise(_places(docs, window, mer), "super-k-mers")
     by_minimiser = places.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("w"))
-    shared = by_minimiser.filter("a < b").select("minimiser", (F.col("w") > hot_windows).alias("hot"))
+    # Written first, so that both sides of the join are plain exchanges, whose
+    # large partitions Spark splits.
+    shared = materialise(by_minimiser.filter("a < b").select("minimiser", (F.col("w") > hot_windows).alias("hot")), "shared-minimisers")
     listed = places.join(shared, "minimiser").groupBy("doc", "text_key", "hot").agg(F.collect_set(F.struct("minimiser", "start", "n")).alias("places"))
     listed = materialise(listed, "shared-super-k-mers")
     texts = _keyed(docs)
@@ -221,17 +238,18 @@ def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows
         return joined.select("doc", "text_key", F.col("body").cast("binary").alias("body"), "places")
 
     run, schema = _pack(window)
-    packed = of(False).mapInArrow(run, schema).repartition(partitions, "minimiser").sortWithinPartitions("minimiser")
+    packed = map_arrow(of(False), run, schema).repartition(partitions, "minimiser").sortWithinPartitions("minimiser")
     run, schema = _sort_buckets(window)
-    spans = packed.mapInArrow(run, schema)
+    spans = map_arrow(packed, run, schema)
     if not listed.filter("hot").isEmpty():
         run, schema = _digests(window)
-        single = materialise(of(True).mapInArrow(run, schema), "hot-windows")
-        first = single.groupBy("digest").agg(F.min("doc").alias("first"))
+        single = materialise(map_arrow(of(True), run, schema), "hot-windows")
+        first = single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        first = materialise(first.filter("first < last").drop("last"), "first-windows")
         lost = single.join(first, "digest").filter("first < doc")
         spans = spans.unionByName(lost.select("doc", "text_key", F.col("start").alias("low"), (F.col("start") + window).alias("high")))
     by_document = spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    return by_document.mapInArrow(_kept_runs, "doc long, text_key long, runs array<struct<first:int,length:int>>")
+    return map_arrow(by_document, _kept_runs, "doc long, text_key long, runs array<struct<first:int,length:int>>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows: int = HOT_WINDOWS) -> DataFrame:

@@ -54,8 +54,13 @@ def test_perplexity(spark, none):
     model = perplexity.fit(perplexity.trusted(docs.select("doc_id", "text"), labels))
     p = model.probabilities()
     assert p.sum(axis=2) == pytest.approx(np.ones((64, 64)))
-    joined = {r.doc_id: r.perplexity for r in perplexity.score_joined(docs.filter("doc_id < 20"), model).collect()}
-    assert len(joined) == 20 and all(got[d].perplexity == pytest.approx(x) for d, x in joined.items())
+    cost = -np.log(p).ravel()
+    for r in docs.collect():
+        cells = perplexity.trigrams(r.text or "")
+        assert got[r.doc_id].n_grams == len(cells) == len(r.text or "")
+        assert got[r.doc_id].perplexity == (pytest.approx(np.exp(cost[cells].mean())) if len(cells) else None)
+    twice = docs.filter("doc_id < 5").unionByName(docs.filter("doc_id < 5").withColumn("text", F.lit(DE)))
+    assert perplexity.score(twice, model).count() == 10
     far = perplexity.trusted(docs, labels, most_broadcast=0)
     assert far.count() == 240
     assert perplexity.judge(none, labels).count() == 0
