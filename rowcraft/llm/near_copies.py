@@ -1,0 +1,147 @@
+"""Near copies: documents whose sets of five-word shingles are 0.8 alike.
+
+At a Jaccard coefficient of 0.8 the 64-bit SimHashes of two texts differ in
+about ten bits, far outside the radius that ``simhash`` can look up. Candidates
+are found by MinHash instead: twenty bands of four minima, so that a pair at
+exactly 0.8 shares a band with probability 1 - (1 - 0.8^4)^20 > 0.9999. Each
+candidate pair is confirmed on the whole shingle sets.
+
+Texts of one shingle set are one row (a class) before anything is compared, and
+only documents that share a band are read again. Each class is first compared
+with the least class it shares a band with. Then, within a band's bucket, the
+first class by ``doc_id`` is compared with all later ones; later ones
+that are near copies leave, and the rest goes to the next round. A large bucket
+of near copies thus costs its size and not its square, and a bucket is finished
+only when all that remains in it has been compared.
+
+Defined results
+    Dropped: what a chain of links joins to a class of a lesser ``doc_id``. No
+    two documents that stay and share a band reach the threshold.
+    null or blank text: the empty set, alike only to itself. Fewer words than a
+    shingle: the words are one shingle.
+    null ``doc_id``: stays, and drops nothing. One ``doc_id`` with several texts:
+    each text on its own. Repeated rows share their fate. Empty table: no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rowcraft.functions.arrow import map_arrow
+from rowcraft.llm.support import materialise, to_every_task
+
+SHINGLE, SEED, THRESHOLD = 5, 42, 0.8
+BANDS, ROWS = 20, 4
+#: Classes of a bucket that are compared with all later ones in one round.
+PIVOTS = 1
+#: Ids up to this number are sent to every task; more are joined.
+MOST_BROADCAST = 1_000_000
+
+_RANDOM = np.random.default_rng(SEED)
+_TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_CHUNK = 1 << 13
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's shingles."""
+    from xxhash import xxh64_intdigest
+
+    tokens = text.lower().split()  # bytes: lowers A-Z only, cuts at ASCII white space only
+    if len(tokens) < shingle:
+        found = {b" ".join(tokens)} if tokens else set()
+    else:
+        found = set(map(b" ".join, zip(*(tokens[k:] for k in range(shingle)))))  # noqa: B905  the shortest ends it
+    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found)))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """One signed long for each band; none for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(found), _CHUNK):
+        part = found[low : low + _CHUNK]
+        np.minimum(least, (part[None, :] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    hashed = [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(hashed, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, body, key, n, bands): ``body`` names the text, ``key`` its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [shingles(t.as_py() or b"", shingle) for t in batch.column(2)]
+            keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "key", "n", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
+    return materialise(map_arrow(rows, run, "doc_id long, body long, key long, n long, bands array<long>"), "sketches")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(key, spots) of the documents of ``wanted`` (doc_id, body, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t.as_py() or b"", shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["key", "spots"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(to_every_task(wanted, "wanted", MOST_BROADCAST), ["doc_id", "body"]).select("key", "text")
+    return materialise(map_arrow(rows, run, "key long, spots array<long>").dropDuplicates(["key"]), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold."""
+    one, two = sets.select(F.col("key").alias("a"), F.col("spots").alias("x")), sets.select(F.col("key").alias("b"), F.col("spots").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    scored = pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness"))
+    return scored.filter(F.col("likeness") >= threshold).select("a", "b")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """Documents without near copies; columns as they are."""
+    sketches = _sketches(docs, shingle)
+    first = F.min(F.struct("doc_id", "body")).alias("first")
+    classes = materialise(sketches.groupBy("key").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    bucket = Window.partitionBy("bucket")
+    members = classes.select("key", F.col("first.doc_id").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    shared = lambda rows: rows.withColumn("size", F.count(F.lit(1)).over(bucket)).filter("size > 1").drop("size")
+    active = materialise(shared(members), "buckets")
+    wanted = active.select("key").distinct().join(classes, "key").select("first.doc_id", "first.body", "key")
+    gone = None
+    if not active.isEmpty():
+        sets = _sets(docs, wanted, shingle)
+        # Each class against the least of all buckets it is in: one pair a class, which empties large groups.
+        head = F.min(F.struct("doc_id", "key", "n"))
+        least = active.withColumn("head", head.over(bucket)).filter("head.key <> key").groupBy("key", "n").agg(F.min("head").alias("head"))
+        near = F.least("n", "head.n") + 1e-6 >= threshold * F.greatest("n", "head.n")
+        gone = materialise(_linked(least.filter(near).select(F.col("head.key").alias("a"), F.col("key").alias("b")), sets, threshold).select(F.col("b").alias("key")), "copies")
+        active = materialise(shared(active.join(gone, "key", "left_anti")), "buckets")
+        while not active.isEmpty():
+            ranked = materialise(active.withColumn("rank", F.row_number().over(bucket.orderBy("doc_id", "key"))), "ranked")
+            pivots = ranked.filter(F.col("rank") <= PIVOTS).select("bucket", F.col("key").alias("a"), F.col("n").alias("m"), F.col("rank").alias("place"))
+            near = F.least("n", "m") + 1e-6 >= threshold * F.greatest("n", "m")
+            pairs = ranked.join(pivots, "bucket").filter((F.col("rank") > F.col("place")) & near).select("a", F.col("key").alias("b")).distinct()
+            found = materialise(_linked(pairs, sets, threshold).select(F.col("b").alias("key")).distinct(), "copies")
+            gone = gone.unionByName(found)
+            rest = ranked.filter(F.col("rank") > PIVOTS).drop("rank").join(found, "key", "left_anti")
+            active = materialise(shared(rest), "buckets")
+    marked = sketches.join(classes.select("key", F.col("first.doc_id").alias("least")), "key")
+    dropped = marked.filter("doc_id > least")
+    if gone is not None:
+        dropped = dropped.unionByName(marked.join(gone.distinct(), "key", "left_semi"))
+    dropped = to_every_task(dropped.select(F.col("doc_id").alias("_copy_id"), F.col("body").alias("_copy_body")).distinct(), "dropped", MOST_BROADCAST)
+    return docs.join(dropped, (F.col("doc_id").cast("long") == F.col("_copy_id")) & (F.xxhash64("text") == F.col("_copy_body")), "left_anti")

@@ -1,0 +1,51 @@
+"""Near copies against brute force."""
+
+import random
+
+import corpus_pipeline
+from rowcraft.llm import near_copies
+from tests.llm.conftest import made
+
+
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def alike(a, b):
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def edited(text, n, seed):
+    """A text with n words replaced, far enough apart to break 5 shingles each."""
+    w, pick = text.split(), random.Random(seed)
+    for k in range(n):
+        w[10 + k * 20 + pick.randrange(10)] = f"edit{seed}x{k}"
+    return " ".join(w)
+
+
+def test_stage_removes_edited_copies(spark):
+    base = [made(k, 300, 2000) for k in range(30)]
+    copies = [edited(t, 1 + k % 6, k) for k, t in enumerate(base)]
+    far = [edited(t, 12, 500 + k) for k, t in enumerate(base)]
+    assert all(alike(a, b) >= 0.8 for a, b in zip(base, copies, strict=True)) and all(alike(a, b) < 0.8 for a, b in zip(base, far, strict=True))
+    texts = dict(enumerate(base)) | {100 + k: t for k, t in enumerate(copies)} | {200 + k: t for k, t in enumerate(far)}
+    # many near copies of one text: a bucket of more than the pivots
+    texts |= {300 + k: edited(base[0], 2, 1000 + k) for k in range(40)}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect()}
+    assert left == set(range(30)) | set(range(200, 230))
+
+
+def test_odd_rows(odd, none):
+    got = near_copies.keep_one(odd)
+    assert got.columns == odd.columns
+    left = sorted((r.doc_id, r.size) for r in got.collect() if r.doc_id is not None)
+    rows = [(r.doc_id, r.text or "", r.size) for r in odd.collect() if r.doc_id is not None]
+    ids = [d for d, _ in left]
+    assert 1 in ids and 2 not in ids and 3 not in ids and 19 not in ids and 6 not in ids
+    assert ids.count(16) == 2 and ids.count(17) == 2  # two texts; one text twice
+    assert len(left) == len(rows) - 5  # 7 is as blank as 5 and 6
+    assert got.filter("doc_id is null").count() == odd.filter("doc_id is null").count()
+    assert near_copies.keep_one(none).count() == 0
