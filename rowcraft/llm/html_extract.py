@@ -3,8 +3,8 @@
 A page is read once as a stream of events into blocks (paragraphs, headings,
 list items, cells). Each block is a line with a text-to-tag ratio; the ratios
 are smoothed with a Gaussian and split by a threshold between two clusters.
-The content region is the element that holds the clustered text: an article or
-main element if one holds most of it, else the deepest element that does.
+The content region is all articles, if together they hold at least half of the
+clustered text; else so the main elements; else the whole page.
 All blocks of the region are the text, without those inside menus, headers of
 the page, footers, sidebars, notices, adverts, forms and reader comments. The
 ratios choose the region, not the lines in it, so a short paragraph stays.
@@ -220,29 +220,32 @@ def _below(node: _Node, region: _Node) -> bool:
     return True
 
 
-def _region(root: _Node, blocks: list[tuple[str, int, _Node]]) -> _Node:
-    """The element that holds the clustered text."""
-    open_blocks = [b for b in blocks if _below(b[2], root)] or blocks
-    ratios = smooth([len(text) / max(1, tags) for text, tags, _ in open_blocks])
+def _regions(root: _Node, blocks: list[tuple[str, int, _Node]]) -> list[_Node]:
+    """The elements that hold the text."""
+    open_blocks = [b for b in blocks if _below(b[2], root)]
+    shown = open_blocks or blocks
+    ratios = smooth([len(text) / max(1, tags) for text, tags, _ in shown])
     cut = threshold(ratios)
     total, marked = 0.0, []
-    for (text, _, node), ratio in zip(open_blocks, ratios, strict=True):
-        if ratio >= cut:
-            total += len(text)
-            while node is not None:
-                if not node.mass and node.tag in ("article", "main"):
-                    marked.append(node)
-                node.mass += len(text)
-                node = node.parent
+    for (text, _, node), ratio in zip(shown, ratios, strict=True):
+        mass, outer = len(text) if ratio >= cut else 0, {}
+        total += mass
+        while node is not None:
+            if node.tag in ("article", "main"):
+                outer[node.tag] = node
+            node.mass += mass
+            node = node.parent
+        marked.append((mass, outer))
     for tag in ("article", "main"):
-        best = max((n for n in marked if n.tag == tag), key=lambda n: n.mass, default=None)
-        if best is not None and best.mass >= total / 2:
-            return best
-    node = root
+        if any(tag in o for _, o in marked) and sum(mass for mass, o in marked if tag in o) >= total / 2:
+            return list({id(o[tag]): o[tag] for _, o in marked if tag in o}.values())
+    if open_blocks:
+        return [root]
+    node = root  # all is set aside: the deepest element that holds most of it
     while True:
         heir = max(node.children, key=lambda n: n.mass, default=None)
         if heir is None or heir.tag in ("p", "li", "td", "h1") or heir.mass < 0.9 * total:
-            return node
+            return [node]
         node = heir
 
 
@@ -254,8 +257,8 @@ def extract(html: str) -> str:
     page.flush()
     if not page.blocks:
         return ""
-    region = _region(page.root, page.blocks)
-    return "\n".join(text for text, _, node in page.blocks if _below(node, region))
+    regions = _regions(page.root, page.blocks)
+    return "\n".join(text for text, _, node in page.blocks if any(_below(node, r) for r in regions))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
