@@ -11,18 +11,23 @@ the windows near-equal: at a quarter of the capacity padding is below 1 %.
 Tokens come from the byte-level BPE vocabulary in its ``tiktoken`` form. Its
 ids equal those of the ``tokenizers`` form of the same vocabulary (tested), at
 a quarter of the CPU time. The vocabulary's end-of-text string becomes its
-special id, as there.
+special id, as there. A text with a run of more than ``LONGEST_BLANK`` white-space
+characters, on which the ``tiktoken`` form's pattern runs out of stack, takes its
+ids from the ``tokenizers`` form, which needs time in proportion.
 
 Defined results
     null or empty text: the document is its end id alone.
     null ``doc_id`` and repeated rows: packed like any other row.
-    Very long texts: cut; memory holds one document's ids and one group.
+    Very long texts, long runs of one character included: cut into sequences;
+    memory holds one document's ids and one group. Equal lengths: first come,
+    first served. Empty table: no rows.
     Only ``doc_id`` and ``text`` are read, so clashing columns cannot matter.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,6 +50,11 @@ SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space in a row that the pattern above is trusted with. Its look-ahead
+#: keeps a state for each character, and the stack of the engine ends at a million.
+LONGEST_BLANK = 20_000
+_LONG_BLANK = re.compile(rf"\s{{{LONGEST_BLANK}}}")
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -55,8 +65,20 @@ _SEQUENCE_BITS = 40
 
 
 @cache
-def encoder(vocabulary: str | None = None):
-    """Text to ids; ``vocabulary`` is the path of the rank file."""
+def _patient(vocabulary: str | None):
+    """The ``tokenizers`` form; ``vocabulary`` is the path of its JSON file."""
+    from tokenizers import Tokenizer
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return Tokenizer.from_file(vocabulary)
+
+
+@cache
+def encoder(vocabulary: str | None = None, patient_vocabulary: str | None = None):
+    """Text to ids; the paths are those of the two forms of the vocabulary."""
     import tiktoken
 
     if vocabulary is None:
@@ -68,6 +90,8 @@ def encoder(vocabulary: str | None = None):
     known = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
     def encode(text: str) -> list[int]:
+        if len(text) >= LONGEST_BLANK and _LONG_BLANK.search(text):
+            return _patient(patient_vocabulary).encode(text, add_special_tokens=False).ids
         return known.encode(text, allowed_special="all") if SPECIAL in text else known.encode_ordinary(text)
 
     return encode
@@ -112,7 +136,7 @@ class _Packer:
         return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, end_id: int = END_ID, vocabulary: str | None = None, patient_vocabulary: str | None = None) -> DataFrame:
     """One row a piece: its place in document and sequence, and its ids.
 
     ``ids`` are little-endian unsigned 32-bit integers, ready to be copied into
@@ -120,7 +144,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, group: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, patient_vocabulary)
         packer = _Packer(TaskContext.get().partitionId() << _SEQUENCE_BITS, capacity, piece, group)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,11 +28,15 @@ def words(text: Column) -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place on one machine; on a cluster, whose
+    executors would each write to their own disk, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset; {master} needs a folder that its executors share")
         own = tempfile.mkdtemp(prefix="rowcraft-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
