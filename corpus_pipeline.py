@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowcraft.llm import mixing, near_copies, packing, quality_rules, substring_dedup
+from rowcraft.llm import mixing, packing, quality_rules, similar_texts, substring_dedup
 from rowcraft.llm.support import materialise, table
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is 0.8 alike in five-word shingles."""
-    return near_copies.keep_one(docs)
+    """One document of each group that SimHash finds 0.8 alike in five-word shingles."""
+    return similar_texts.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ Defined results
     null or blank text: fingerprint zero, linked like any other.
     null ``doc_id``: never the least of a component; null if there is no other.
     Repeated rows: each gets the same component. Empty table: no rows.
-    ``keep_one`` keeps the columns it is given, whatever their names.
+    Very long texts: read whole, hashed shingle by shingle.
+    Only ``doc_id`` and ``text`` are read, so clashing columns cannot matter.
+    ``similar_texts`` has the stage that removes near copies.
 """
 
 from __future__ import annotations
@@ -118,14 +120,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     rooted = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Documents without near-duplicates: of each group the least ``doc_id``.
-
-    Documents with a null ``doc_id`` stay, as nothing can name them. Rows that
-    share the kept ``doc_id`` stay as well.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, seed)
-    dropped = found.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,13 +11,15 @@ meet in the bucket of their minimiser.
 2.  The others travel as one packed string each to the bucket of their
     minimiser, where windows are sorted and compared word for word, and each
     gets the least document that has it.
-3.  A minimiser with more windows than a task should hold is treated window by
-    window: digests are grouped with a combinable minimum and joined back, which
-    Spark splits when a window is very frequent. Nothing is capped.
+3.  A bucket of more than a partition's fair share of all packed strings is dealt
+    to parts of that size. Each part sorts its windows in the same way; what it
+    found is combined by window, and each part gets back the owners of its own
+    windows. So a passage that a third of all documents share is spread evenly.
 4.  Spans of removed words meet the documents once, by document.
 
 Defined results
-    null text: no words. null ``doc_id``: after every other document.
+    null or empty text: no words. Very long text: read whole.
+    null ``doc_id``: after every other document.
     Rows with one ``doc_id``: neither is the smaller, so they do not remove each
     other's words. Repeated rows: the same result each. Empty table: no rows.
     ``remove_repeats`` keeps all columns, whatever their names.
@@ -39,8 +41,8 @@ from rowcraft.llm.support import materialise, words
 WINDOW = 50
 MER = 8
 
-#: A minimiser with more windows is handled window by window.
-HOT_WINDOWS = 200_000
+#: A bucket is never dealt to parts of fewer packed strings.
+LEAST_PART = 256
 
 #: Packed strings that a task holds before it passes them on.
 _BATCH_BYTES = 4 << 20
@@ -104,15 +106,20 @@ def _places(docs: DataFrame, window: int, mer: int) -> DataFrame:
 
 
 def _pieces(batch: pa.RecordBatch, window: int):
-    """(document, key, pieces) of each row; a piece is (minimiser, start, words)."""
+    """(document, key, pieces) of each row; a piece is (minimiser, part, start, words)."""
     for row in range(batch.num_rows):
         doc, key, text, places = (batch.column(k)[row].as_py() for k in range(4))
         tokens = text.split()
-        yield doc, key, ((p["minimiser"], p["start"], tokens[p["start"] : p["start"] + p["n"] + window - 1]) for p in places)
+        yield doc, key, ((p["minimiser"], _part(doc, p["start"], p["parts"]), p["start"], tokens[p["start"] : p["start"] + p["n"] + window - 1]) for p in places)
+
+
+def _part(doc: int, start: int, parts: int) -> int:
+    """The part of a bucket that a super-k-mer goes to."""
+    return ((doc * 0x9E3779B97F4A7C15 + start * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) >> 33) % parts
 
 
 def _pack(window: int):
-    schema = pa.schema([("minimiser", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
+    schema = pa.schema([("minimiser", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -121,9 +128,9 @@ def _pack(window: int):
         for batch in batches:
             rows, held = [], 0
             for doc, key, pieces in _pieces(batch, window):
-                for minimiser, start, tokens in pieces:
+                for minimiser, part, start, tokens in pieces:
                     packed = b" ".join(tokens)
-                    rows.append((minimiser, doc, key, start, packed))
+                    rows.append((minimiser, part, doc, key, start, packed))
                     held += len(packed)
                     if held > _BATCH_BYTES:
                         yield made(rows)
@@ -131,24 +138,7 @@ def _pack(window: int):
             if rows:
                 yield made(rows)
 
-    return run, "minimiser long, doc long, text_key long, start int, packed binary"
-
-
-def _digests(window: int):
-    schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, key, pieces in _pieces(batch, window):
-                for _, start, tokens in pieces:
-                    n = len(tokens) - window + 1
-                    for low in range(0, n, 10_000):
-                        at = range(low, min(n, low + 10_000))
-                        made = [hashlib.sha256(b" ".join(tokens[i : i + window])).digest() for i in at]
-                        columns = [made, [doc] * len(at), [key] * len(at), [start + i for i in at]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return run, "digest binary, doc long, text_key long, start int"
+    return run, "minimiser long, part int, doc long, text_key long, start int, packed binary"
 
 
 def _windows(packed: bytes, window: int) -> list[bytes]:
@@ -160,17 +150,25 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[a:b] for a, b in zip(first[: len(end) - window + 1].tolist(), end[window - 1 :].tolist(), strict=True)]
 
 
-def _bucket(rows: list[tuple], window: int, out: list[tuple]) -> None:
-    """Spans (doc, text_key, low, high) that a bucket's rows lose."""
-    least: dict[bytes, int] = {}
-    for doc, _, _, packed in rows:
-        least[packed] = min(doc, least.get(packed, doc))
-    cut = {packed: _windows(packed, window) for packed in least}
-    # Sorted by words, then document: the first of equal windows has the least.
-    owner: dict[bytes, int] = {}
-    for words_, doc in sorted((w, least[packed]) for packed in least for w in cut[packed]):
-        owner.setdefault(words_, doc)
-    owners = {packed: np.array([owner[w] for w in ws]) for packed, ws in cut.items()}
+def _distinct(rows: list[tuple], window: int) -> tuple[dict[bytes, list[bytes]], list[tuple[bytes, int, int]]]:
+    """The windows of each packed string; and each distinct window, sorted, with
+    the least and the greatest document that has it. Rows end (doc, ..., packed)."""
+    ends: dict[bytes, tuple[int, int]] = {}
+    for doc, *_, packed in rows:
+        a, b = ends.get(packed, (doc, doc))
+        ends[packed] = min(doc, a), max(doc, b)
+    cut = {packed: _windows(packed, window) for packed in ends}
+    found: list[tuple[bytes, int, int]] = []
+    for words_, a, b in sorted((w, *ends[packed]) for packed in ends for w in cut[packed]):
+        if found and found[-1][0] == words_:
+            found[-1] = words_, min(a, found[-1][1]), max(b, found[-1][2])
+        else:
+            found.append((words_, a, b))
+    return cut, found
+
+
+def _lost(rows: list[tuple], owners: dict[bytes, np.ndarray], window: int, out: list[tuple]) -> None:
+    """Adds the spans (doc, text_key, low, high) that rows lose to lesser owners."""
     for doc, key, start, packed in rows:
         lost = np.flatnonzero(owners[packed] < doc)
         if len(lost):
@@ -180,30 +178,80 @@ def _bucket(rows: list[tuple], window: int, out: list[tuple]) -> None:
             out += [(doc, key, start + a, start + b + window) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
 
 
-def _sort_buckets(window: int):
-    schema = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+_SPANS = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+_FOUND = pa.schema([("minimiser", pa.int64()), ("part", pa.int32()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+_PACKED = ["minimiser", "part", "doc", "text_key", "start", "packed"]
 
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, out = None, [], []
-        for batch in batches:
-            for minimiser, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if minimiser != bucket:
-                    if len(rows) > 1:
-                        _bucket(rows, window, out)
-                    bucket, rows = minimiser, []
-                rows.append(row)
-            if len(out) >= 10_000:
-                yield made(out)
-                out = []
-        if len(rows) > 1:
-            _bucket(rows, window, out)
-        if out:
-            yield made(out)
-
-    return run, "doc long, text_key long, low int, high int"
+def _digest(words_: bytes) -> bytes:
+    return hashlib.sha256(words_).digest()
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
+    """((minimiser, part), rows) of batches that come sorted so."""
+    bucket, rows = None, []
+    for batch in batches:
+        for minimiser, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (minimiser, part) != bucket:
+                if rows:
+                    yield bucket, rows
+                bucket, rows = (minimiser, part), []
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
+def _batches(rows: Iterator[list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for found in rows:
+        held += found
+        if len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _whole_buckets(window: int):
+    """Spans that the documents of whole buckets lose."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for _, rows in _by_bucket(batches):
+            out: list[tuple] = []
+            if len(rows) > 1:
+                cut, found = _distinct(rows, window)
+                owner = {words_: a for words_, a, _ in found}
+                _lost(rows, {packed: np.array([owner[w] for w in ws]) for packed, ws in cut.items()}, window, out)
+            yield out
+
+    return lambda batches: _batches(spans(batches), _SPANS)
+
+
+def _part_windows(window: int):
+    """The distinct windows of each part, with the ends of their documents."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for bucket, rows in _by_bucket(batches):
+            yield [(*bucket, _digest(words_), a, b) for words_, a, b in _distinct(rows, window)[1]]
+
+    return lambda batches: _batches(windows(batches), _FOUND)
+
+
+def _part_spans(window: int):
+    """Spans that a part's documents lose; its owners are rows without a start."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for _, rows in _by_bucket(batches):
+            owner = {packed: doc for doc, _, start, packed in rows if start is None}
+            packed_rows = [row for row in rows if row[2] is not None]
+            owners = {}
+            for packed in {row[3] for row in packed_rows}:
+                owners[packed] = np.array([owner.get(_digest(w), _LAST) for w in _windows(packed, window)])
+            out: list[tuple] = []
+            _lost(packed_rows, owners, window, out)
+            yield out
+
+    return lambda batches: _batches(spans(batches), _SPANS)
 
 
 def _kept_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,40 +269,51 @@ def _kept_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, run_type)], ["doc", "text_key", "runs"])
 
 
-def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """(doc, text_key, runs) of the documents that lose words."""
+def _dealt(packed: DataFrame) -> DataFrame:
+    partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(partitions, "minimiser", "part").sortWithinPartitions("minimiser", "part")
+
+
+def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, part_rows: int | None = None) -> DataFrame:
+    """(doc, text_key, runs) of the documents that lose words.
+
+    ``part_rows`` is the size above which a bucket is dealt to parts.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = materialise(_places(docs, window, mer), "super-k-mers")
-    by_minimiser = places.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("w"))
+    by_minimiser = places.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("rows"))
     # Written first, so that both sides of the join are plain exchanges, whose
     # large partitions Spark splits.
-    shared = materialise(by_minimiser.filter("a < b").select("minimiser", (F.col("w") > hot_windows).alias("hot")), "shared-minimisers")
-    listed = places.join(shared, "minimiser").groupBy("doc", "text_key", "hot").agg(F.collect_set(F.struct("minimiser", "start", "n")).alias("places"))
-    listed = materialise(listed, "shared-super-k-mers")
+    shared = materialise(by_minimiser.filter("a < b").select("minimiser", "rows"), "shared-minimisers")
+    if part_rows is None:
+        part_rows = max(LEAST_PART, -(-(shared.agg(F.sum("rows")).first()[0] or 0) // partitions))
+    parts = F.ceil(F.col("rows") / part_rows).cast("int")
+    listed = places.join(shared.select("minimiser", parts.alias("parts")), "minimiser").groupBy("doc", "text_key", (F.col("parts") > 1).alias("hot"))
+    listed = materialise(listed.agg(F.collect_set(F.struct("minimiser", "start", "n", "parts")).alias("places")), "shared-super-k-mers")
     texts = _keyed(docs)
+    run, schema = _pack(window)
 
-    def of(hot: bool) -> DataFrame:
+    def packed(hot: bool) -> DataFrame:
         joined = texts.join(listed.filter(F.col("hot") == hot), ["doc", "text_key"])
-        return joined.select("doc", "text_key", F.col("body").cast("binary").alias("body"), "places")
+        return map_arrow(joined.select("doc", "text_key", F.col("body").cast("binary").alias("body"), "places"), run, schema)
 
-    run, schema = _pack(window)
-    packed = map_arrow(of(False), run, schema).repartition(partitions, "minimiser").sortWithinPartitions("minimiser")
-    run, schema = _sort_buckets(window)
-    spans = map_arrow(packed, run, schema)
+    span = "doc long, text_key long, low int, high int"
+    spans = map_arrow(_dealt(packed(False)), _whole_buckets(window), span)
     if not listed.filter("hot").isEmpty():
-        run, schema = _digests(window)
-        single = materialise(map_arrow(of(True), run, schema), "hot-windows")
-        first = single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        first = materialise(first.filter("first < last").drop("last"), "first-windows")
-        lost = single.join(first, "digest").filter("first < doc")
-        spans = spans.unionByName(lost.select("doc", "text_key", F.col("start").alias("low"), (F.col("start") + window).alias("high")))
+        large = materialise(packed(True), "large-buckets")
+        single = materialise(map_arrow(_dealt(large), _part_windows(window), "minimiser long, part int, digest binary, a long, b long"), "part-windows")
+        first = single.groupBy("digest").agg(F.min("a").alias("doc"), F.max("b").alias("last"))
+        first = materialise(first.filter("doc < last").drop("last"), "first-windows")
+        owners = single.select("minimiser", "part", "digest").join(first, "digest")
+        owners = owners.select("minimiser", "part", "doc", F.lit(0).cast("long").alias("text_key"), F.lit(None).cast("int").alias("start"), F.col("digest").alias("packed"))
+        spans = spans.unionByName(map_arrow(_dealt(large.select(*_PACKED).unionByName(owners)), _part_spans(window), span))
     by_document = spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     return map_arrow(by_document, _kept_runs, "doc long, text_key long, runs array<struct<first:int,length:int>>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, part_rows: int | None = None) -> DataFrame:
     """``_row`` (the input's row), n_words, n_removed and the kept words."""
-    runs = kept_runs(docs, window, mer, hot_windows)
+    runs = kept_runs(docs, window, mer, part_rows)
     if docs.columns == ["doc_id", "text"]:
         # The same exchange of texts as in ``kept_runs``, so Spark reuses it.
         whole, text = _keyed(docs), F.col("body")

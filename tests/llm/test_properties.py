@@ -29,18 +29,30 @@ def connected(group):
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 300), min_size=1, max_size=90, unique=True), min_size=1, max_size=5))
 def test_bit_sliced_links(groups):
     made = [np.array(sorted(g), dtype=np.uint64) for g in groups]
-    for dense in (8192, 2):
+    for wide in (4096, 2):
         for g in made:
-            before, bitslice.DENSE = bitslice.DENSE, dense
+            before, bitslice.WIDE = bitslice.WIDE, wide
             try:
                 u, v = bitslice.links(g, np.array([len(g)]))
             finally:
-                bitslice.DENSE = before
+                bitslice.WIDE = before
             assert dict(zip(u.tolist(), v.tolist(), strict=True)) == connected(g)
     u, _ = bitslice.links(np.concatenate(made), np.array([len(g) for g in made]))
     assert len(u) == sum(len(connected(g)) for g in made)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 90), min_size=1, max_size=4), st.integers(1, 4), st.integers(1, 120), st.integers(0, 99))
+def test_pairs_within_any_radius(sizes, width, radius, seed):
+    pick = np.random.default_rng(seed)
+    centre = pick.integers(0, 2**64, width, dtype=np.uint64)
+    words = np.stack([centre ^ np.bitwise_and.reduce(pick.integers(0, 2**64, (pick.integers(1, 6), width), dtype=np.uint64)) for _ in range(sum(sizes))])
+    got = {(a, b) for u, v in bitslice.pairs(words, np.array(sizes), radius) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+    whole = [sum(int(x) << (64 * k) for k, x in enumerate(w)) for w in words]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    assert got == {(a, b) for b in range(len(whole)) for a in range(b) if group[a] == group[b] and (whole[a] ^ whole[b]).bit_count() <= radius}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 512), max_size=120))
 def test_windows_hold_every_piece_once(sizes):
