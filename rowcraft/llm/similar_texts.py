@@ -91,12 +91,12 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     if not len(found):
         return np.zeros(WORDS, dtype=np.uint64)
     ones, tie = np.zeros(64 * WORDS, dtype=np.int64), None
-    for low in range(0, len(found), _CHUNK):
-        part = found[low : low + _CHUNK]
-        many = np.ascontiguousarray(np.stack([_mixed(part, k) for k in range(WORDS)], axis=1))
+    for low in range(0, len(found), 255):  # as many as a byte can count
+        part = found[low : low + 255]
+        many = np.stack([_mixed(part, k) for k in range(WORDS)], axis=1)
         bits = np.unpackbits(many.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         tie = bits[0] if tie is None else tie
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += bits.sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * ones + (tie if len(found) % 2 == 0 else 0) > len(found), bitorder="little").view("<u8")
 
 
@@ -200,11 +200,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     rows, star = _dealt(active, within, hot)
     sorted_rows = rows.repartition(partitions, "bucket", "part").sortWithinPartitions("bucket", "part")
     links = map_arrow(sorted_rows, _bucket_links(within), "u long, v long").distinct()
-    roots = components(links.unionByName(star) if star is not None else links)
-    rooted = classes.join(roots.withColumnRenamed("vertex", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    named = rooted.join(least, "root").select("key", "least")
-    return made.join(named, "key").select("doc", "body", F.col("least.doc").alias("least_doc"), F.col("least.body").alias("least_body"))
+    roots = materialise(components(links.unionByName(star) if star is not None else links), "components")
+    own = classes.select("key", "first")
+    joined = own.join(to_every_task(roots.withColumnRenamed("vertex", "key"), "linked", MOST_BROADCAST), "key")
+    least = to_every_task(joined.groupBy("root").agg(F.min("first").alias("least")), "leasts", MOST_BROADCAST)
+    named = joined.join(least, "root").select("key", "least")
+    named = named.unionByName(own.join(named.select("key"), "key", "left_anti").select("key", F.col("first").alias("least")))
+    return made.join(to_every_task(named, "named", MOST_BROADCAST), "key").select("doc", "body", F.col("least.doc").alias("least_doc"), F.col("least.body").alias("least_body"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:

@@ -11,7 +11,7 @@ meet in the bucket of their minimiser.
 2.  The others travel as one packed string each to the bucket of their
     minimiser, where windows are sorted and compared word for word, and each
     gets the least document that has it.
-3.  A bucket of more than a partition's fair share of all packed strings is dealt
+3.  A bucket of more than half a partition's fair share of all packed strings is dealt
     to parts of that size. Each part sorts its windows in the same way; what it
     found is combined by window, and each part gets back the owners of its own
     windows. So a passage that a third of all documents share is spread evenly.
@@ -41,8 +41,9 @@ from rowcraft.llm.support import materialise, words
 WINDOW = 50
 MER = 8
 
-#: A bucket is never dealt to parts of fewer packed strings.
-LEAST_PART = 256
+#: A bucket is dealt to parts of half a partition's share; fewer packed strings
+#: than this never make a part.
+LEAST_PART = 32
 
 #: Packed strings that a task holds before it passes them on.
 _BATCH_BYTES = 4 << 20
@@ -286,7 +287,7 @@ def kept_runs(docs: DataFrame, window: int = WINDOW, mer: int = MER, part_rows:
     # large partitions Spark splits.
     shared = materialise(by_minimiser.filter("a < b").select("minimiser", "rows"), "shared-minimisers")
     if part_rows is None:
-        part_rows = max(LEAST_PART, -(-(shared.agg(F.sum("rows")).first()[0] or 0) // partitions))
+        part_rows = max(LEAST_PART, -(-(shared.agg(F.sum("rows")).first()[0] or 0) // (2 * partitions)))
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     listed = places.join(shared.select("minimiser", parts.alias("parts")), "minimiser").groupBy("doc", "text_key", (F.col("parts") > 1).alias("hot"))
     listed = materialise(listed.agg(F.collect_set(F.struct("minimiser", "start", "n", "parts")).alias("places")), "shared-super-k-mers")
