@@ -144,6 +144,9 @@ class Term:
     def __mod__(self, other: Any) -> Term:
         return self._arithmetic(other, "%")
 
+    def __rmod__(self, other: Any) -> Term:
+        return self._arithmetic(other, "%", True)
+
     def __neg__(self) -> Term:
         return Term(-self.column, self.kind)
 

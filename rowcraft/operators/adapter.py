@@ -8,6 +8,7 @@ a predicate (``lambda e: e.Price > 5``), as filter objects, as SQL text with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -20,6 +21,28 @@ from rowcraft.operators.entity import EntityMap, quoted
 
 Hook = Callable[[DataFrame], None]
 
+_QUOTED_OR_COMMA = re.compile(r"'(?:[^'\\\\]|\\\\.)*'|\"[^\"]*\"|`[^`]*`|[(),]")
+_DIRECTION = re.compile(r"^(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?$", re.IGNORECASE | re.DOTALL)
+
+
+def _parts(text: str) -> list[str]:
+    """Cuts an ORDER BY text at the commas outside brackets and quotes."""
+    out, depth, start = [], 0, 0
+    for m in _QUOTED_OR_COMMA.finditer(text):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if m[0] == "," and depth == 0:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [p.strip() for p in [*out, text[start:]]]
+
+
+def _ordered(text: str) -> Column:
+    """One part of an ORDER BY text as a sort column."""
+    name, way, nulls = _DIRECTION.match(text).groups()
+    c, down = F.expr(name), (way or "").lower() == "desc"
+    made = {"": (c.asc, c.desc), "first": (c.asc_nulls_first, c.desc_nulls_first), "last": (c.asc_nulls_last, c.desc_nulls_last)}
+    return made[(nulls or "").lower()][down]()
+
 
 class Adapter:
     """``table`` is a DataFrame, or the name of a table in the catalog."""
@@ -64,15 +87,7 @@ class Adapter:
 
     def _ordering(self) -> list[Column]:
         given = self.order_by if isinstance(self.order_by, list) else [self.order_by] if self.order_by else []
-        out = []
-        for part in (p for g in given for p in (g.split(",") if isinstance(g, str) else [g])):
-            if isinstance(part, Column):
-                out.append(part)
-                continue
-            name, _, way = part.strip().rpartition(" ") if part.strip().lower().endswith((" asc", " desc")) else (part.strip(), "", "")
-            c = F.expr(name.strip())
-            out.append(c.desc() if way.lower() == "desc" else c.asc())
-        return out
+        return [c for g in given for c in ([g] if isinstance(g, Column) else map(_ordered, _parts(g)))]
 
     def _ready(self, df: DataFrame) -> DataFrame:
         for hook in self.before_read:

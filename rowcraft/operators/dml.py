@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowcraft.functions.predicate import Entity, Term, condition
+from rowcraft.functions.scratch import materialise
 from rowcraft.operators.entity import EntityMap, Field, MappingError, quoted
 
 ADDED, MODIFIED, DELETED, UNCHANGED, DETACHED = "Added", "Modified", "Deleted", "Unchanged", "Detached"
@@ -109,11 +110,13 @@ def _new_rows(base: DataFrame, of: EntityMap, rows: DataFrame, null_text: str |
 def _numbered(base: DataFrame, rows: DataFrame, identity: str) -> DataFrame:
     """Gives the rows the numbers that follow the table's greatest.
 
-    Numbers are dealt partition by partition from per-partition counts, so no
-    task orders the whole batch.
+    The rows are written to the shared folder first, marked with their partition
+    and place. Numbers come from the written marks, so a rerun of a lost task
+    can't give another, and no task orders the whole batch.
     """
     start = base.agg(F.coalesce(F.max(quoted(identity)), F.lit(0)).alias("_start"))
     marked = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    marked = materialise(marked, "new-rows")
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -131,11 +134,33 @@ def insert(base: DataFrame, of: EntityMap, rows: DataFrame, null_text: str | Non
 bulk_insert = insert
 
 
-def bulk_update(base: DataFrame, of: EntityMap, rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Overwrites fields of the rows that ``rows`` names by key; others stay."""
+def _last_by_key(rows: DataFrame, keys: list[Column], order_by: str | None) -> DataFrame:
+    """(_k0 ..., _row, _first): one row for each key.
+
+    ``order_by`` is a column that says which of the rows of a key comes last;
+    ``_first`` is the first of them. Without it a repeated key is an error.
+    """
+    row = F.struct(*[F.col(quoted(c)) for c in rows.columns])
+    keyed = rows.select(*[k.alias(f"_k{n}") for n, k in enumerate(keys)], row.alias("_row"))
+    grouped = keyed.groupBy(*[f"_k{n}" for n in range(len(keys))])
+    if order_by:
+        at = F.col(f"_row.{quoted(order_by)}")
+        return grouped.agg(F.max_by("_row", at).alias("_row"), F.min_by("_row", at).alias("_first"))
+    said = F.concat(F.lit("a key is repeated and nothing orders its rows: "), F.concat_ws(",", *[F.col(f"_k{n}").cast("string") for n in range(len(keys))]))
+    one = grouped.agg(F.any_value("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    return one.withColumn("_row", F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(said))).drop("_n").withColumn("_first", F.col("_row"))
+
+
+def bulk_update(base: DataFrame, of: EntityMap, rows: DataFrame, fields: list[str] | None = None, order_by: str | None = None) -> DataFrame:
+    """Overwrites fields of the rows that ``rows`` names by key; others stay.
+
+    Where a key is repeated, the last row by the column ``order_by`` counts;
+    without it that is an error.
+    """
     changed = [of[n] for n in fields] if fields else [f for f in of.fields if f.writable and not f.key and not f.partition and _have(rows, f)]
     keys = of.all_keys
-    new = rows.select(*[F.col(quoted(_have(rows, f))).alias(f"_k{n}") for n, f in enumerate(keys)], *[F.col(quoted(_have(rows, f))).alias(f"_v{n}") for n, f in enumerate(changed)], F.lit(True).alias("_hit"))
+    last = _last_by_key(rows, [F.col(quoted(_have(rows, f))) for f in keys], order_by)
+    new = last.select(*[f"_k{n}" for n in range(len(keys))], *[F.col(f"_row.{quoted(_have(rows, f))}").alias(f"_v{n}") for n, f in enumerate(changed)], F.lit(True).alias("_hit"))
     joined = base.join(new, [F.col(quoted(f.source)) == F.col(f"_k{n}") for n, f in enumerate(keys)], "left")
     hit = F.col("_hit").isNotNull()
     made = {f.source: F.when(hit, fitted(f, F.col(f"_v{n}").cast(base.schema[f.source].dataType))).otherwise(F.col(quoted(f.source))) for n, f in enumerate(changed)}
@@ -196,35 +221,61 @@ def changes(new: DataFrame, original: DataFrame | None, of: EntityMap, state: st
     return joined.select((F.lit(state) if state else told).alias("_state"), "_new", "_orig")
 
 
-def outcomes(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str = "changed", select_back: bool = True, ignore_count: bool = False) -> DataFrame:
-    """The batch with the ``outcome`` of each row.
+def _keyed(of: EntityMap, batch: DataFrame) -> DataFrame:
+    """The batch with the key each row is matched by: its original's, or its own if it is added.
 
-    Success: exactly one stored row was hit. Conflict: the key is there but
-    not as it was read, and the caller reads back. Fail: anything else that
-    was not as expected. Skipped: nothing to do.
+    ``_rows`` counts the rows of a key. Keys that the insert makes are null.
     """
-    if batch.filter(F.col("_state") == DETACHED).limit(1).count():
-        raise ValueError("a detached row can't be saved")
-    if not of.all_keys:
+    for_state = lambda f: F.when(F.col("_state") == ADDED, F.lit(None) if f.identity else F.col(f"_new.{quoted(f.source)}")).otherwise(F.col(f"_orig.{quoted(f.source)}"))
+    state = F.when(F.col("_state") == DETACHED, F.raise_error("a detached row can't be saved").cast("string")).otherwise(F.col("_state"))
+    keyed = batch.withColumn("_state", state).withColumns({f"_k{n}": for_state(f) for n, f in enumerate(of.all_keys)})
+    acts = F.count(F.when(F.col("_state").isin(ADDED, MODIFIED, DELETED), 1))
+    return keyed.withColumn("_rows", acts.over(Window.partitionBy(*[f"_k{n}" for n in range(len(of.all_keys))])))
+
+
+def _judged(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str, select_back: bool, ignore_count: bool) -> DataFrame:
+    """The keyed batch with its outcomes. The batch side of every join may be
+    small enough to be sent to the table, which is scanned once here."""
+    keys = of.all_keys
+    if not keys:
         raise MappingError(f"{of.table} has no key")
+    names = [f"_k{n}" for n in range(len(keys))]
+    keyed = _keyed(of, batch)
     stored = base.select(F.struct(*[F.col(quoted(c)) for c in base.columns]).alias("_base"))
-    asked = batch.filter(F.col("_state").isin(MODIFIED, DELETED)).distinct()
-    on = [F.col(f"_base.{quoted(f.source)}") == F.col(f"_orig.{quoted(f.source)}") for f in of.all_keys]
-    met = asked.join(stored, on, "left")
+    asked = keyed.filter(F.col("_state").isin(ADDED, MODIFIED, DELETED))
+    met = stored.join(asked, [F.col(f"_base.{quoted(f.source)}") == F.col(n) for n, f in zip(names, keys, strict=True)])
     same = F.when(F.col("_state") == DELETED, F.lit(True)).otherwise(_criteria(of, criteria, "_base"))
-    hits = met.groupBy(F.col("_state").alias("_s"), F.col("_new").alias("_n"), F.col("_orig").alias("_o")).agg(
-        F.count("_base").alias("_keys"), F.count(F.when(F.col("_base").isNotNull() & same, 1)).alias("_hits")
-    )
-    joined = batch.join(hits, (F.col("_state") == F.col("_s")) & F.col("_new").eqNullSafe(F.col("_n")) & F.col("_orig").eqNullSafe(F.col("_o")), "left")
-    reads_back = F.lit(select_back) & (F.col("_state") == MODIFIED)
+    hits = met.groupBy(*names).agg(F.count(F.lit(1)).alias("_keys"), F.count(F.when(same, 1)).alias("_hits"))
+    joined = keyed.join(hits, names, "left")
+    found, hit = F.coalesce("_keys", F.lit(0)), F.coalesce("_hits", F.lit(0))
+    made_here = F.lit(all(f.identity for f in keys))
     outcome = (
-        F.when(F.col("_state") == ADDED, SUCCESS)
-        .when(~F.col("_state").isin(MODIFIED, DELETED), SKIPPED)
-        .when(F.lit(ignore_count) | (F.col("_hits") == 1), SUCCESS)
-        .when(reads_back & (F.col("_keys") > 0) & (F.col("_hits") == 0), CONFLICT)
+        F.when((F.col("_state") == ADDED) & made_here, SUCCESS)
+        .when(~F.col("_state").isin(ADDED, MODIFIED, DELETED), SKIPPED)
+        .when(F.col("_rows") > 1, FAIL)
+        .when(F.col("_state") == ADDED, F.when(found == 0, SUCCESS).otherwise(FAIL))
+        .when(F.lit(ignore_count) | (hit == 1), SUCCESS)
+        .when(F.lit(select_back) & (F.col("_state") == MODIFIED) & (found > 0) & (hit == 0), CONFLICT)
         .otherwise(FAIL)
     )
-    return joined.withColumn("outcome", outcome).drop("_keys", "_hits", "_s", "_n", "_o")
+    return joined.withColumn("outcome", outcome).drop("_keys", "_hits", "_rows")
+
+
+def outcomes(base: DataFrame, of: EntityMap, batch: DataFrame, criteria: str = "changed", select_back: bool = True, ignore_count: bool = False) -> DataFrame:
+    """The batch with the ``outcome`` of each row.
+
+    Success: exactly one stored row was hit, or an added row's key is free.
+    Conflict: the key is there but not as it was read, and the caller reads
+    back. Fail: anything else that was not as expected; so every row of a key
+    that several rows of the batch would write. Skipped: nothing to do. A
+    detached row is an error.
+    """
+    return _judged(base, of, batch, criteria, select_back, ignore_count).drop(*[f"_k{n}" for n in range(len(of.all_keys))])
+
+
+def outcome_counts(judged: DataFrame) -> DataFrame:
+    """(outcome, n): how many rows of a batch went which way."""
+    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def save(
@@ -248,14 +299,12 @@ def save(
         if allowed is None:
             return base, batch.withColumn("outcome", F.lit(SKIPPED))
         batch = allowed
-    judged = outcomes(base, of, batch, criteria, select_back)
-    good = judged.filter(F.col("outcome") == SUCCESS)
-    keys = of.all_keys
-    gone = good.filter(F.col("_state") == DELETED).select(*[F.col(f"_orig.{quoted(f.source)}").alias(f"_d{n}") for n, f in enumerate(keys)])
-    left = base.join(gone, [F.col(quoted(f.source)) == F.col(f"_d{n}") for n, f in enumerate(keys)], "left_anti")
-    edits = good.filter(F.col("_state") == MODIFIED).select("_new", "_orig", *[F.col(f"_orig.{quoted(f.source)}").alias(f"_e{n}") for n, f in enumerate(keys)])
-    met = left.join(edits, [F.col(quoted(f.source)) == F.col(f"_e{n}") for n, f in enumerate(keys)], "left")
-    hit, made = F.col("_new").isNotNull(), {}
+    judged, keys = _judged(base, of, batch, criteria, select_back, False), of.all_keys
+    names = [f"_k{n}" for n in range(len(keys))]
+    edits = judged.filter((F.col("outcome") == SUCCESS) & F.col("_state").isin(MODIFIED, DELETED)).select(*names, "_state", "_new", "_orig")
+    met = base.join(edits, [F.col(quoted(f.source)) == F.col(n) for n, f in zip(names, keys, strict=True)], "left")
+    met = met.filter(F.coalesce(F.col("_state") != DELETED, F.lit(True)))
+    hit, made = F.col("_state").isNotNull(), {}
     for f in of.fields:
         if f.expression or f.source not in base.columns:
             continue
@@ -266,8 +315,8 @@ def save(
             take = hit & _changed(f) if affect == "changed" else hit
             made[f.source] = F.when(take, fitted(f, F.col(f"_new.{quoted(f.source)}")).cast(base.schema[f.source].dataType)).otherwise(own)
     kept = met.withColumns(made).select(*[F.col(quoted(c)) for c in base.columns])
-    added = good.filter(F.col("_state") == ADDED).select("_new.*")
-    return kept.unionByName(_new_rows(base, of, added, null_text)), judged
+    added = judged.filter((F.col("outcome") == SUCCESS) & (F.col("_state") == ADDED)).select("_new.*")
+    return kept.unionByName(_new_rows(base, of, added, null_text)), judged.drop(*names)
 
 
 def read_back(state: DataFrame, of: EntityMap, judged: DataFrame, what: str = "all") -> DataFrame:
@@ -291,9 +340,20 @@ def read_back(state: DataFrame, of: EntityMap, judged: DataFrame, what: str = "a
     return met.select(*out)
 
 
-def save_table(base: DataFrame, of: EntityMap, rows: DataFrame) -> DataFrame:
-    """Next state from rows with a ``_state``, by key alone; last write wins."""
+def save_table(base: DataFrame, of: EntityMap, rows: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Next state from rows with a ``_state``, by key alone.
+
+    Where a key is repeated, the last row by the column ``order_by`` wins: what
+    was added and then changed is added as it was last, what was added and then
+    deleted was never there. Without the column a repeated key is an error.
+    """
     stored = [f for f in of.fields if not f.expression]
+    keys = [F.col(quoted(f.source)) for f in of.all_keys]
+    made_here = F.lit(all(f.identity for f in of.all_keys)) & (F.col("_state") == ADDED)
+    last = _last_by_key(rows.filter(~made_here), keys, order_by)
+    began, ended = F.col("_first._state"), F.col("_row._state")
+    state = F.when((began == ADDED) & (ended == DELETED), UNCHANGED).when((began == ADDED) & (ended == MODIFIED), ADDED).when((began == DELETED) & (ended == ADDED), MODIFIED).otherwise(ended)
+    net = last.select(state.alias("_state"), *[F.col(f"_row.{quoted(f.source)}").alias(f.source) for f in stored])
+    net = net.unionByName(rows.filter(made_here).select("_state", *[F.col(quoted(f.source)) for f in stored]))
     row = F.struct(*[F.col(quoted(f.source)).cast(f.data_type).alias(f.source) for f in stored])
-    batch = rows.select("_state", row.alias("_new"), row.alias("_orig"))
-    return save(base, of, batch, "key", "all", False)[0]
+    return save(base, of, net.select("_state", row.alias("_new"), row.alias("_orig")), "key", "all", False)[0]

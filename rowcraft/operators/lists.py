@@ -48,12 +48,27 @@ def get_string_array(df: DataFrame, prepend_empty: bool = False) -> list[str]:
 
 
 def delimited(df: DataFrame, delimiter: str = ",", qualifier: str = "") -> DataFrame:
-    """One text of all values of the first column, in ascending order."""
+    """One text of all values of the first column, in ascending order.
+
+    The text is one value of one row, so this is for lists that fit in it; for
+    larger ones see ``delimited_pieces``.
+    """
     value = F.concat(F.lit(qualifier), _nth(df, 0).cast("string"), F.lit(qualifier))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(_nth(df, 0).alias("k"), value.alias("v")))), lambda x: x["v"]), delimiter)
     return df.filter(_nth(df, 0).isNotNull()).agg(joined.alias("value"))
 
 
+def delimited_pieces(df: DataFrame, delimiter: str = ",", qualifier: str = "", pieces: int | None = None) -> DataFrame:
+    """The same text in numbered pieces (piece, value), one a range of values.
+
+    Joined by the delimiter in order of their numbers they are ``delimited``.
+    """
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(_nth(df, 0).alias("k")).filter("k is not null").repartitionByRange(n, "k").select("k", F.spark_partition_id().alias("piece"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: F.concat(F.lit(qualifier), x.cast("string"), F.lit(qualifier))), delimiter)
+    return ranged.groupBy("piece").agg(joined.alias("value"))
+
+
 def get_delimited_string(df: DataFrame, delimiter: str = ",", qualifier: str = "") -> str:
     return delimited(df, delimiter, qualifier).first()[0]
 
@@ -75,6 +90,13 @@ def dictionary(df: DataFrame) -> DataFrame:
     return df.agg(F.map_from_entries(unique).alias("value"))
 
 
+def entries(df: DataFrame) -> DataFrame:
+    """The dictionary as rows (key, value), for any size; a repeated key is an error."""
+    said = F.concat(F.lit("a key of the dictionary is repeated: "), F.col("key").cast("string"))
+    grouped = df.select(_nth(df, 0).alias("key"), _nth(df, 1).alias("value")).groupBy("key").agg(F.any_value("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return grouped.select("key", F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(said)).alias("value"))
+
+
 def get_dictionary(df: DataFrame) -> dict[Any, Any]:
     return dict(dictionary(df).first()[0])
 

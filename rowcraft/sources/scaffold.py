@@ -109,35 +109,57 @@ def pascal(name: str) -> str:
     return "".join(p[:1].upper() + (p[1:].lower() if p.isupper() else p[1:]) for p in re.split(r"[\W_]+", name) if p)
 
 
-_IRREGULAR = {"people": "person", "children": "child", "men": "man", "women": "woman", "mice": "mouse", "geese": "goose"}
-_SAME = {"series", "species", "news", "status", "sheep", "data"}
+#: Nouns whose plural follows no rule.
+IRREGULAR = {"people": "person", "children": "child", "men": "man", "women": "woman", "mice": "mouse", "geese": "goose", "feet": "foot", "teeth": "tooth", "oxen": "ox"}
+#: Nouns that are their own plural.
+UNCHANGING = frozenset("series species news sheep fish deer data equipment information".split())
+_LAST_WORD = re.compile(r"[A-Z]?[a-z]+$|[A-Z]+$|[^\W_]+$")
 
 
-def singular(word: str) -> str:
-    low = word.lower()
-    for many, one in _IRREGULAR.items():
-        if low.endswith(many):
-            return word[: len(word) - len(many)] + (one.capitalize() if word[len(word) - len(many)].isupper() else one)
-    if low in _SAME or low.endswith(("ss", "us", "is")):
+def _ends(word: str) -> tuple[str, str]:
+    """What stands before the last word of a name, and that word."""
+    found = _LAST_WORD.search(word)
+    return (word[: found.start()], found[0]) if found else (word, "")
+
+
+def _cased(made: str, like: str) -> str:
+    return made.upper() if like.isupper() and len(like) > 1 else made.capitalize() if like[:1].isupper() else made
+
+
+def singular(word: str, irregular: Mapping[str, str] | None = None) -> str:
+    """The singular of a name's last word; ``irregular`` adds plurals to the known ones."""
+    before, last = _ends(word)
+    low, known = last.lower(), IRREGULAR | dict(irregular or {})
+    if low in known:
+        return before + _cased(known[low], last)
+    if low in UNCHANGING or low in known.values() or low.endswith(("ss", "us", "is")):
         return word
+    if low.endswith("uses") and not low.endswith(("ouses", "auses")):
+        return word[:-2]
     for end, put in (("ies", "y"), ("sses", "ss"), ("shes", "sh"), ("ches", "ch"), ("xes", "x"), ("zes", "z"), ("s", "")):
-        if low.endswith(end) and len(word) > len(end) + 1:
+        if low.endswith(end) and len(low) > len(end) + 1:
             return word[: -len(end)] + put
     return word
 
 
-def plural(word: str) -> str:
-    low = word.lower()
-    for many, one in _IRREGULAR.items():
-        if low.endswith(one):
-            return word[: len(word) - len(one)] + (many.capitalize() if word[len(word) - len(one)].isupper() else many)
-    if low in _SAME:
+def plural(word: str, irregular: Mapping[str, str] | None = None) -> str:
+    """The plural of a name's last word."""
+    before, last = _ends(word)
+    low, known = last.lower(), {one: many for many, one in (IRREGULAR | dict(irregular or {})).items()}
+    if low in known:
+        return before + _cased(known[low], last)
+    if low in UNCHANGING or low in known.values():
         return word
     if low.endswith("y") and low[-2:-1] not in "aeiou":
         return word[:-1] + "ies"
     return word + ("es" if low.endswith(("s", "x", "z", "ch", "sh")) else "s")
 
 
+def uncertain(word: str, irregular: Mapping[str, str] | None = None) -> bool:
+    """Whether a name does not come back from singular and plural."""
+    return word not in (plural(singular(word, irregular), irregular), singular(plural(word, irregular), irregular))
+
+
 def safe(name: str) -> str:
     """A Python identifier."""
     made = re.sub(r"\W", "_", name)
@@ -160,10 +182,12 @@ class Relation:
     many: bool
 
 
-def relations(tables: Sequence[Table]) -> tuple[list[Relation], list[str]]:
-    """Relations from foreign keys both ways, and what was left out."""
+def relations(tables: Sequence[Table], irregular: Mapping[str, str] | None = None) -> tuple[list[Relation], list[str]]:
+    """Relations from foreign keys both ways, and what was left out or is a guess."""
     by_name, found, warnings = {t.name: t for t in tables}, [], []
     for t in tables:
+        if uncertain(t.name, irregular):
+            warnings.append(f"{t.name}: singular and plural of the name are a guess")
         for fk in t.declared.foreign:
             if fk.table not in by_name:
                 warnings.append(f"{t.name}: {fk.table} is not there")
@@ -174,11 +198,11 @@ def relations(tables: Sequence[Table]) -> tuple[list[Relation], list[str]]:
                 continue
             twice = sum(o.table == fk.table for o in t.declared.foreign) > 1
             role = re.sub(r"_?(id|key)$", "", fk.columns[0], flags=re.IGNORECASE)
-            one = pascal(role if twice else singular(fk.table))
-            many = pascal(plural(t.name)) + (f"By{pascal(role)}" if twice else "")
+            one = pascal(role if twice else singular(fk.table, irregular))
+            many = pascal(plural(t.name, irregular)) + (f"By{pascal(role)}" if twice else "")
             unique = fk.columns == t.declared.key or fk.columns in t.declared.unique
             found.append(Relation(one, t.name, fk.columns, fk.table, target, False))
-            found.append(Relation(pascal(singular(t.name)) if unique else many, fk.table, target, t.name, fk.columns, not unique))
+            found.append(Relation(pascal(singular(t.name, irregular)) if unique else many, fk.table, target, t.name, fk.columns, not unique))
     taken: set[tuple[str, str]] = {(t.name, pascal(c).lower()) for t in tables for c in t.schema.names}
     out = []
     for r in found:
@@ -202,18 +226,18 @@ def entity_map(table: Table, naming: str = "pascal") -> EntityMap:
     return EntityMap(table.name, tuple(made), read_only=table.read_only)
 
 
-def emit(tables: Sequence[Table], naming: str = "pascal") -> str:
+def emit(tables: Sequence[Table], naming: str = "pascal", irregular: Mapping[str, str] | None = None) -> str:
     """Source of a module with one map a table, and the relations."""
     lines = [MARK, "from rowcraft.operators.entity import EntityMap, Field", "from rowcraft.sources.scaffold import Relation", ""]
     for t in tables:
         m = entity_map(t, naming)
-        lines.append(f"{safe(singular(t.name)).upper()} = EntityMap({t.name!r}, (")
+        lines.append(f"{safe(singular(t.name, irregular)).upper()} = EntityMap({t.name!r}, (")
         for f in m.fields:
             extra = [f"column={f.column!r}"] if f.column else []
             extra += [f"{n}=True" for n in ("key", "identity", "row_version") if getattr(f, n)] + ([] if f.nullable else ["nullable=False"])
             lines.append(f"    Field({', '.join([repr(f.name), repr(f.type), *extra])}),")
         lines += [f"){', read_only=True' if m.read_only else ''})", ""]
-    found, warnings = relations(tables)
+    found, warnings = relations(tables, irregular)
     lines += ["RELATIONS = (", *[f"    {r!r}," for r in found], ")", *[f"# {w}" for w in warnings]]
     return "\n".join(lines) + "\n"
 

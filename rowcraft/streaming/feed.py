@@ -22,8 +22,10 @@ def mapped(stream: DataFrame, of: EntityMap, predicate: Callable[[Any], Any] | N
 def upsert_into(stream: DataFrame, of: EntityMap, store: Store, checkpoint: str) -> DataStreamWriter:
     """Saves each batch: rows whose key is stored are updated, others added.
 
-    A batch that is replayed after a failure gives the same table. Within a
-    batch each key should occur once.
+    A batch that is replayed after a failure gives the same table. Rows of one
+    batch that share a key fail, so each key should occur once. Every batch
+    rewrites the table, and versions before the last two go: this suits tables of
+    moderate size; a large one belongs in a table format with its own merge.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -31,5 +33,6 @@ def upsert_into(stream: DataFrame, of: EntityMap, store: Store, checkpoint: str)
         changed = dml.changes(batch, of.project(table), of)
         state, _ = dml.save(table, of, changed, "key", "all", False)
         store.replace(of.target, state)
+        store.vacuum()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

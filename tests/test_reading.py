@@ -163,3 +163,12 @@ def test_maps(spark, zoo):
     assert Adapter(spark, SPECIES, zoo["Species"]).on_table(zoo["Species"].filter("false")).get_count() == 0
     assert Adapter(spark, SPECIES).fill_rows([(9, "Yak", None, False)]).first().Name == "Yak"
     assert Adapter(spark, order_log, odd.select("Id", F.lit(1).alias("unmapped"))).fill_all().columns == ["Id", "Order", "Note"]
+
+
+def test_order_by_text_with_commas_in_it(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, "a", "y"), (3, "a, b", "x")], "Id int, V string, W string")
+    of = EntityMap("t", (Field("Id", "int", key=True), Field("V", "string"), Field("W", "string")))
+    ids = lambda text: [r.Id for r in Adapter(spark, of, df, text).get_list()]
+    assert ids("coalesce(W, 'z') desc, Id") == [1, 2, 3] and ids("replace(V, ', b', ''), Id desc") == [3, 2, 1]
+    assert ids("W nulls last") == [3, 2, 1] and ids("W desc nulls first") == [1, 2, 3] and ids("W asc") == [1, 3, 2]
+    assert [r.Id for r in Adapter(spark, of, df, "Id").get_list(lambda t: 5 % t.Id == 1)] == [2]

@@ -169,7 +169,7 @@ def test_scaffold(spark, tmp_path):
     assert any(t.name == "species_view" and t.view for t in scaffold.from_catalog(spark)) and not any(t.name == "species_view" for t in scaffold.from_catalog(spark, ignored=["SPECIES*"]))
 
 
-@pytest.mark.parametrize(("many", "one"), [("categories", "category"), ("boxes", "box"), ("people", "person"), ("species", "species"), ("statuses", "statuse"), ("animals", "animal"), ("dishes", "dish")])
+@pytest.mark.parametrize(("many", "one"), [("categories", "category"), ("boxes", "box"), ("people", "person"), ("species", "species"), ("statuses", "status"), ("animals", "animal"), ("dishes", "dish")])
 def test_names(many, one):
     assert scaffold.singular(many) == one
 
@@ -189,3 +189,19 @@ def test_stream(spark, tmp_path):
     run = feed.upsert_into(stream, of, store, f"{tmp_path}/ck").trigger(availableNow=True).start()
     assert run.awaitTermination(60)
     assert sorted(rows(store.read("t"))) == [(1, "new"), (2, "stays"), (3, "added")]
+
+
+def test_inflection():
+    for one, many in (("human", "humans"), ("specimen", "specimens"), ("status", "statuses"), ("SalesPerson", "SalesPeople"), ("order_child", "order_children"), ("house", "houses"), ("Category", "Categories"), ("woman", "women"), ("species", "species"), ("bus", "buses")):
+        assert scaffold.plural(one) == many and scaffold.singular(many) == one and not scaffold.uncertain(many)
+    assert scaffold.plural("criterion", {"criteria": "criterion"}) == "criteria" and scaffold.singular("SearchCriteria", {"criteria": "criterion"}) == "SearchCriterion"
+    assert scaffold.uncertain("analyses")
+
+
+def test_large_lists(spark):
+    df = spark.range(1000).select(F.col("id"), F.concat(F.lit("v"), "id").alias("v"))
+    pieces = lists.delimited_pieces(df, ",", pieces=5).orderBy("piece").collect()
+    assert len(pieces) == 5 and ",".join(r.value for r in pieces) == lists.get_delimited_string(df)
+    assert {tuple(r) for r in lists.entries(df).collect()} == {(k, f"v{k}") for k in range(1000)}
+    with pytest.raises(Exception, match="repeated"):
+        lists.entries(df.unionByName(df)).collect()

@@ -10,7 +10,7 @@ from rowcraft.operators import audit, dml
 from rowcraft.operators.cursor import Cursor
 from rowcraft.operators.entity import EntityMap, MappingError
 from rowcraft.operators.store import Store
-from rowcraft.operators.tracked import Tracked, batch_of
+from rowcraft.operators.tracked import Tracked, TrackedList, batch_of
 from tests.zoo import ANIMAL, EXHIBIT, FEEDING, SPECIES, tables
 
 
@@ -100,8 +100,50 @@ def test_collection_save(spark, zoo):
     assert sorted(r.outcome for r in judged.collect()) == ["Skipped", "Skipped", "Success", "Success", "Success"]
     assert sorted((r.AnimalId, r.Weight) for r in state.collect() if r.AnimalId != 4 and r.AnimalId < 5) == [(1, Decimal("96.00")), (3, Decimal("40.00"))]
     assert state.filter("Name = 'New One'").first().AnimalId == 5
-    with pytest.raises(ValueError):
-        dml.outcomes(zoo["Animal"], ANIMAL, batch_of(spark, ANIMAL, [Tracked(ANIMAL)]))
+    with pytest.raises(Exception, match="detached"):
+        dml.outcomes(zoo["Animal"], ANIMAL, batch_of(spark, ANIMAL, [Tracked(ANIMAL)])).collect()
+
+
+def test_added_rows_whose_key_is_taken(spark, zoo):
+    f = zoo["FeedingSchedule"]
+    new = edit(f.filter("DayOfWeek = 1"), FoodType="new").unionByName(edit(f.filter("DayOfWeek = 2"), DayOfWeek=8))
+    state, judged = dml.save(f, FEEDING, dml.changes(new, None, FEEDING, dml.ADDED))
+    assert {(r["_new"].DayOfWeek, r.outcome) for r in judged.collect()} == {(1, "Fail"), (8, "Success")}
+    assert state.count() == 8 and state.filter("FoodType = 'new'").count() == 0
+    assert {tuple(r) for r in dml.outcome_counts(judged).collect()} == {("Fail", 2), ("Success", 2)}
+    twice = dml.changes(edit(f.filter("DayOfWeek = 2"), DayOfWeek=8).unionByName(edit(f.filter("DayOfWeek = 3"), DayOfWeek=8)), None, FEEDING, dml.ADDED)
+    state, judged = dml.save(f, FEEDING, twice)
+    assert {r.outcome for r in judged.collect()} == {"Fail"} and state.count() == 6
+
+
+def test_repeated_keys(spark, zoo):
+    f = zoo["FeedingSchedule"]
+    one = f.filter("DayOfWeek = 1 and TimeSlot = 'am'")
+    twice = edit(one, FoodType="x").withColumn("at", F.lit(1)).unionByName(edit(one, FoodType="y").withColumn("at", F.lit(2)))
+    got = dml.bulk_update(f, FEEDING, twice, ["FoodType"], order_by="at")
+    assert got.count() == 6 and [r.FoodType for r in got.filter("DayOfWeek = 1 and TimeSlot = 'am'").collect()] == ["y"]
+    with pytest.raises(Exception, match="repeated"):
+        dml.bulk_update(f, FEEDING, twice, ["FoodType"]).collect()
+    states = lambda *s: f.sparkSession.createDataFrame([(1, 9, "am", f"food{k}", None, None, state, k) for k, state in enumerate(s)], "AnimalId int, DayOfWeek int, TimeSlot string, FoodType string, Quantity decimal(6,2), x int, _state string, at int").drop("x")
+    foods = lambda rows: sorted(r.FoodType for r in dml.save_table(f, FEEDING, rows, "at").filter("DayOfWeek = 9").collect())
+    assert foods(states("Added", "Modified", "Modified")) == ["food2"] and foods(states("Added", "Deleted")) == [] and foods(states("Modified")) == []
+    both = states("Deleted", "Added").withColumn("DayOfWeek", F.lit(1))
+    assert [r.FoodType for r in dml.save_table(f, FEEDING, both, "at").filter("DayOfWeek = 1 and TimeSlot = 'am'").collect()] == ["food1"]
+
+
+def test_numbers_of_many_partitions(spark, zoo):
+    new = spark.range(5000).repartition(7).select(F.concat(F.lit("n"), "id").alias("Name"), F.lit(True).alias("IsEndangered"))
+    ids = [r.SpeciesId for r in dml.insert(zoo["Species"], SPECIES, new).collect()]
+    assert sorted(ids) == list(range(1, 5004))
+
+
+def test_deleted_items_are_kept(zoo):
+    rows = TrackedList(Tracked(SPECIES, r) for r in zoo["Species"].collect())
+    gone, new = rows[1], Tracked(SPECIES, {"Name": "x"}).attach_new()
+    rows.append(new)
+    rows.remove(gone)
+    rows.remove(new)
+    assert len(rows) == 2 and rows.deleted == [gone] and [r.state for r in rows.to_save()] == ["Deleted", "Unchanged", "Unchanged"]
 
 
 def test_state_machine():
@@ -162,6 +204,23 @@ def test_transactions(spark, zoo, tmp_path):
         t.write("Species", zoo["Species"])
         raise RuntimeError("no")
     assert store.read("Species").count() == 1
+    assert [tuple(r)[::3] for r in store.history().orderBy("number").collect()] == [(1, None), (2, "01ff")]
+
+
+def test_commit_is_for_all_tables_or_none(spark, zoo, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}")
+    store.replace("Species", zoo["Species"])
+    before = store.version("Species")
+    with pytest.raises(RuntimeError, match="another"), store.transaction() as t:
+        t.write("Species", zoo["Species"].limit(1))
+        t.write("Exhibit", zoo["Exhibit"])
+        monkeypatch.setattr(store, "_current", lambda: (0, {"tables": {}}))
+    monkeypatch.undo()
+    assert store.version("Species") == before and store.version("Exhibit") is None and store.read("Species").count() == 3
+    for k in range(4):
+        store.replace("Exhibit", zoo["Exhibit"].limit(k))
+    assert store.vacuum() == 2 and store.read("Exhibit").count() == 2 and store.read("Species").count() == 3
+    assert sum(p.is_dir() for p in (tmp_path / "Exhibit").iterdir()) == 2
 
 
 def test_cursor(spark):
