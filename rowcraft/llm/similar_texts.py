@@ -50,7 +50,7 @@ BANDS, ROWS = 20, 4
 #: Classes of a bucket that one task compares; larger buckets are dealt to parts.
 HOT = 2048
 #: Rows up to this number are sent to every task; more are joined.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 200_000
 
 _LAST = (1 << 63) - 1  # stands for a null ``doc_id``
 _RANDOM = np.random.default_rng(SEED)
@@ -187,13 +187,11 @@ def _dealt(active: DataFrame, within: int, hot: int) -> tuple[DataFrame, DataFra
     return active.filter(F.col("n") <= hot).select(*plain).unionByName(spread), star
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """(doc, body, least_doc, least_body): each text, and the least of its group."""
-    spark = docs.sparkSession
-    partitions, within = int(spark.conf.get("spark.sql.shuffle.partitions")), radius(threshold)
-    made = materialise(sketches(docs, shingle), "sketches")
+def groups(made: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(doc, body, least_doc, least_body): each text of a group of several, and the least of the group."""
+    partitions, within = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), radius(threshold)
     first = F.min(F.struct("doc", "body")).alias("first")
-    classes = materialise(made.groupBy("key").agg(first, F.first("bands").alias("bands"), *[F.first(f).alias(f) for f in _PRINT]), "classes")
+    classes = materialise(made.groupBy("key").agg(first, F.max(F.struct("doc", "body")).alias("last"), F.first("bands").alias("bands"), *[F.first(f).alias(f) for f in _PRINT]), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "key", *_PRINT)
     sizes = to_every_task(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets", MOST_BROADCAST)
     active = materialise(members.join(sizes, "bucket"), "met")
@@ -205,16 +203,17 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     joined = own.join(to_every_task(roots.withColumnRenamed("vertex", "key"), "linked", MOST_BROADCAST), "key")
     least = to_every_task(joined.groupBy("root").agg(F.min("first").alias("least")), "leasts", MOST_BROADCAST)
     named = joined.join(least, "root").select("key", "least")
-    named = named.unionByName(own.join(named.select("key"), "key", "left_anti").select("key", F.col("first").alias("least")))
+    alone = classes.filter("first <> last").join(named.select("key"), "key", "left_anti")
+    named = named.unionByName(alone.select("key", F.col("first").alias("least")))
     return made.join(to_every_task(named, "named", MOST_BROADCAST), "key").select("doc", "body", F.col("least.doc").alias("least_doc"), F.col("least.body").alias("least_body"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """One document of each group, with the columns as they are."""
-    found = materialise(groups(docs, threshold, shingle, hot), "groups")
     known = [F.col("doc").alias("_copy_doc"), F.col("body").alias("_copy_body")]
-    dropped = found.filter("doc <> least_doc or body <> least_body").select(*known).distinct()
-    again = found.groupBy("doc", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*known)
+    made = materialise(sketches(docs, shingle), "sketches")
+    dropped = groups(made, threshold, hot).filter("doc <> least_doc or body <> least_body").select(*known).distinct()
+    again = made.groupBy("doc", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*known)
     doc, body = _named(docs)
     same = (doc == F.col("_copy_doc")) & (body == F.col("_copy_body"))
     left = docs.join(to_every_task(dropped, "dropped", MOST_BROADCAST), same, "left_anti")

@@ -1,16 +1,14 @@
-"""What the corpus operators share: words, tables and scratch space."""
+"""What the corpus operators share: words and tables."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowcraft.functions.scratch import drop_scratch, materialise, scratch_dir
+
+__all__ = ["WORD", "drop_scratch", "materialise", "scratch_dir", "table", "to_every_task", "words"]
+
 #: A word is a run of anything but the six ASCII white-space characters. In
 #: Python ``bytes.split()`` cuts UTF-8 at exactly those.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,49 +23,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
-    temporary folder takes its place on one machine; on a cluster, whose
-    executors would each write to their own disk, it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir is unset; {master} needs a folder that its executors share")
-        own = tempfile.mkdtemp(prefix="rowcraft-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_written: list[str] = []
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what ``materialise`` wrote; call it once results are stored."""
-    context = spark.sparkContext
-    while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result no longer depends on what produced it: it is computed once,
-    however often it is used, and a lost executor costs a read, not a rerun.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def to_every_task(df: DataFrame, label: str, most_rows: int) -> DataFrame:
     """A table computed once, marked for broadcast if it is small enough.
 
