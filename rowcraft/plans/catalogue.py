@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowcraft.functions import convert
 from rowcraft.functions.predicate import Entity, Term, join_where
-from rowcraft.operators import audit, dml, filters, lists, params, relations
+from rowcraft.operators import filters, lists, params, relations
 from rowcraft.operators.adapter import Adapter, select_runtime, sorted_by
 from rowcraft.operators.entity import EntityMap, Field
 
@@ -26,11 +26,15 @@ def _add(name: str, run: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from rowcraft.plans import source_queries, write_queries
+
+    return _QUERIES | write_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from rowcraft.plans import source_queries, write_queries
+
+    return _SQL | write_queries.SQL | source_queries.SQL
 
 
 # maps
@@ -62,7 +66,7 @@ _LABELLED_SQL = "(SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN lab
 _OPEN_SQL = "(SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders)"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "labelled":
         docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
         return docs.select("doc_id").join(labels, "doc_id", "left")
@@ -80,7 +84,7 @@ def _from(name: str) -> str:
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str, order_by=None) -> Adapter:
-    return Adapter(spark, _of(name), _table(spark, sf_dir, name), order_by)
+    return Adapter(spark, _of(name), table(spark, sf_dir, name), order_by)
 
 
 def _filter(name: str, table: str, columns: str, predicate: Callable[[Entity], object], sql: str) -> None:
@@ -111,9 +115,9 @@ _add(
 # scans and projections
 
 _add("scan_all", lambda s, d: adapter(s, d, "nation").fill_all(), "SELECT * FROM nation")
-_add("scan_runtime_schema", lambda s, d: select_runtime(_table(s, d, "part"), ["p_partkey", "p_name"], filters.gt("p_size", 25)), "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
-_add("scan_renamed", lambda s, d: Adapter(s, _RENAMED, _table(s, d, "nation")).fill(lambda n: n.Region == 2), 'SELECT n_nationkey AS "Id", n_name AS "Name", n_regionkey AS "Region", NULL::INT AS "Population" FROM nation WHERE n_regionkey = 2')
-_add("scan_computed", lambda s, d: Adapter(s, _COMPUTED, _table(s, d, "part")).fill(lambda p: p.Double > 60), "SELECT p_partkey, p_size * 2 AS \"Double\" FROM part WHERE p_size * 2 > 60")
+_add("scan_runtime_schema", lambda s, d: select_runtime(table(s, d, "part"), ["p_partkey", "p_name"], filters.gt("p_size", 25)), "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
+_add("scan_renamed", lambda s, d: Adapter(s, _RENAMED, table(s, d, "nation")).fill(lambda n: n.Region == 2), 'SELECT n_nationkey AS "Id", n_name AS "Name", n_regionkey AS "Region", NULL::INT AS "Population" FROM nation WHERE n_regionkey = 2')
+_add("scan_computed", lambda s, d: Adapter(s, _COMPUTED, table(s, d, "part")).fill(lambda p: p.Double > 60), "SELECT p_partkey, p_size * 2 AS \"Double\" FROM part WHERE p_size * 2 > 60")
 _add("scan_procedure", lambda s, d: _PROCEDURES.call(s, "parts of brand", d, "Brand#1"), "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE starts_with(p_brand, 'Brand#1')")
 
 _RENAMED = EntityMap("nation", (Field("Id", "int", "n_nationkey", key=True), Field("Name", "string", "n_name"), Field("Region", "int", "n_regionkey"), Field("Population", "int")))
@@ -169,7 +173,7 @@ _filter("const_false", "region", "r_regionkey", lambda r: False, "1 = 0")
 _add(
     "theta_two_maps",
     lambda s, d: join_where(
-        _table(s, d, "supplier"), MAPS["supplier"], _table(s, d, "customer"), MAPS["customer"], lambda a, b: (a.s_nationkey == b.c_nationkey) & (a.s_acctbal > b.c_acctbal) & (a.s_acctbal < 1000)
+        table(s, d, "supplier"), MAPS["supplier"], table(s, d, "customer"), MAPS["customer"], lambda a, b: (a.s_nationkey == b.c_nationkey) & (a.s_acctbal > b.c_acctbal) & (a.s_acctbal < 1000)
     ).select("s_suppkey", "c_custkey"),
     "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal AND s_acctbal < 1000",
 )
@@ -221,7 +225,7 @@ _filter("in_empty", "orders", "o_orderkey", lambda o: o.o_orderkey.in_([]), "fal
 _filter("not_in_empty", "open_orders", "o_orderkey, status", lambda o: ~o.status.in_([None]), "true")
 _filter("in_nulls", "open_orders", "o_orderkey, status", lambda o: o.status.in_([None, "F", "O"]), "status IN ('F', 'O')")
 _filter("not_in_list", "open_orders", "o_orderkey, status", lambda o: ~o.status.in_(["F", "X"]), "status NOT IN ('F', 'X')")
-_add("in_array_param", lambda s, d: params.query(s, "SELECT o_orderkey FROM {o} WHERE array_contains($0, o_orderstatus)", [["F", "P"]], {"o": _table(s, d, "orders")}), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
+_add("in_array_param", lambda s, d: params.query(s, "SELECT o_orderkey FROM {o} WHERE array_contains($0, o_orderstatus)", [["F", "P"]], {"o": table(s, d, "orders")}), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
 
 
 def _subquery(name: str, predicate: Callable[[Entity, SparkSession, str], Term], sql: str) -> None:
@@ -230,24 +234,24 @@ def _subquery(name: str, predicate: Callable[[Entity, SparkSession, str], Term],
 
 _subquery(
     "in_subquery",
-    lambda o, s, d: o.o_custkey.in_query(MAPS["customer"], _table(s, d, "customer"), lambda c: c.c_mktsegment == "BUILDING", select=lambda c: c.c_custkey),
+    lambda o, s, d: o.o_custkey.in_query(MAPS["customer"], table(s, d, "customer"), lambda c: c.c_mktsegment == "BUILDING", select=lambda c: c.c_custkey),
     "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 )
 _CUSTOMER = EntityMap("customer", (Field("o_custkey", "bigint", "c_custkey"), Field("segment", "string", "c_mktsegment")))
 _subquery(
     "in_subquery_inferred",
-    lambda o, s, d: o.o_custkey.in_query(_CUSTOMER, _table(s, d, "customer"), lambda c: c.segment == "MACHINERY"),
+    lambda o, s, d: o.o_custkey.in_query(_CUSTOMER, table(s, d, "customer"), lambda c: c.segment == "MACHINERY"),
     "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')",
 )
 _subquery(
     "not_in_subquery",
-    lambda o, s, d: ~o.o_custkey.in_query(MAPS["customer"], _table(s, d, "customer"), lambda c: c.c_acctbal > 0, select=lambda c: c.c_custkey),
+    lambda o, s, d: ~o.o_custkey.in_query(MAPS["customer"], table(s, d, "customer"), lambda c: c.c_acctbal > 0, select=lambda c: c.c_custkey),
     "o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
 )
-_subquery("not_in_subquery_null", lambda o, s, d: ~o.o_orderstatus.in_(_table(s, d, "open_orders").filter("status is null or status = 'O'").select("status")), "o_orderstatus NOT IN (SELECT nullif(o_orderstatus, 'P') FROM orders WHERE o_orderstatus IN ('P', 'O'))")
+_subquery("not_in_subquery_null", lambda o, s, d: ~o.o_orderstatus.in_(table(s, d, "open_orders").filter("status is null or status = 'O'").select("status")), "o_orderstatus NOT IN (SELECT nullif(o_orderstatus, 'P') FROM orders WHERE o_orderstatus IN ('P', 'O'))")
 _subquery(
     "in_subquery_or",
-    lambda o, s, d: (o.o_totalprice > 450000) | o.o_custkey.in_query(MAPS["customer"], _table(s, d, "customer"), lambda c: c.c_nationkey == 3, select=lambda c: c.c_custkey),
+    lambda o, s, d: (o.o_totalprice > 450000) | o.o_custkey.in_query(MAPS["customer"], table(s, d, "customer"), lambda c: c.c_nationkey == 3, select=lambda c: c.c_custkey),
     "o_totalprice > 450000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
 )
 
@@ -294,7 +298,7 @@ _add("count_filters", lambda s, d: adapter(s, d, "orders").count_of(filters.lt("
 _add("count_text", lambda s, d: adapter(s, d, "orders").count_of(""), "SELECT count(*) AS count FROM orders")
 _add("exists_true", lambda s, d: adapter(s, d, "orders").exists_of(lambda o: o.o_totalprice > 1000), 'SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1000) AS "exists"')
 _add("exists_false", lambda s, d: adapter(s, d, "orders").exists_of(lambda o: o.o_totalprice < 0), 'SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS "exists"')
-_add("order_by_multi", lambda s, d: sorted_by(_table(s, d, "nation"), "n_regionkey", "-n_name"), "SELECT * FROM nation ORDER BY n_regionkey, n_name DESC")
+_add("order_by_multi", lambda s, d: sorted_by(table(s, d, "nation"), "n_regionkey", "-n_name"), "SELECT * FROM nation ORDER BY n_regionkey, n_name DESC")
 _add("page_offset_limit", lambda s, d: adapter(s, d, "customer", "c_acctbal desc, c_custkey").fill_range(20, 15), "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 20")
 _add("get_one", lambda s, d: adapter(s, d, "orders", "o_totalprice desc, o_orderkey").first_of(lambda o: o.o_orderstatus == "P"), "SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
 
@@ -302,29 +306,34 @@ _add("get_one", lambda s, d: adapter(s, d, "orders", "o_totalprice desc, o_order
 
 _add(
     "scalar_raw",
-    lambda s, d: params.query(s, "SELECT max(o_orderkey) AS m FROM {o} WHERE o_orderstatus = $0", ["F"], {"o": _table(s, d, "orders")}),
+    lambda s, d: params.query(s, "SELECT max(o_orderkey) AS m FROM {o} WHERE o_orderstatus = $0", ["F"], {"o": table(s, d, "orders")}),
     "SELECT max(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'F'",
 )
 _add(
     "raw_group_by",
     lambda s, d: params.query(
-        s, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM {x} GROUP BY l_returnflag, l_linestatus", (), {"x": _table(s, d, "lineitem")}
+        s, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM {x} GROUP BY l_returnflag, l_linestatus", (), {"x": table(s, d, "lineitem")}
     ),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus",
 )
-_add("list_array", lambda s, d: lists.first_column(_table(s, d, "nation"), "bigint"), "SELECT n_nationkey::BIGINT AS value FROM nation")
-_add("list_strings", lambda s, d: lists.strings(_table(s, d, "open_orders").select("status"), True), "SELECT '' AS value UNION ALL SELECT o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
-_add("list_delimited", lambda s, d: lists.delimited(_table(s, d, "nation").select("n_name"), "; ", "'"), "SELECT string_agg('''' || n_name || '''', '; ' ORDER BY n_name) AS value FROM nation")
-_add("list_pairs", lambda s, d: lists.pairs(_table(s, d, "nation")), "SELECT n_nationkey AS id, n_name AS label FROM nation")
-_add("list_dictionary", lambda s, d: lists.dictionary(_table(s, d, "region")).select(F.explode("value").alias("key", "value")), "SELECT r_regionkey AS key, r_name AS value FROM region")
-_add("list_xml", lambda s, d: lists.xml(_table(s, d, "region"), "region"))
+_add("list_array", lambda s, d: lists.first_column(table(s, d, "nation"), "bigint"), "SELECT n_nationkey::BIGINT AS value FROM nation")
+_add("list_strings", lambda s, d: lists.strings(table(s, d, "open_orders").select("status"), True), "SELECT '' AS value UNION ALL SELECT o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+_add("list_delimited", lambda s, d: lists.delimited(table(s, d, "nation").select("n_name"), "; ", "'"), "SELECT string_agg('''' || n_name || '''', '; ' ORDER BY n_name) AS value FROM nation")
+_add("list_pairs", lambda s, d: lists.pairs(table(s, d, "nation")), "SELECT n_nationkey AS id, n_name AS label FROM nation")
+_add("list_dictionary", lambda s, d: lists.dictionary(table(s, d, "region")).select(F.explode("value").alias("key", "value")), "SELECT r_regionkey AS key, r_name AS value FROM region")
+_add(
+    "list_xml",
+    lambda s, d: lists.xml(table(s, d, "region"), "region").select(F.regexp_replace("value", r"\s*\n\s*", "").alias("value")),
+    "SELECT '<region><r_regionkey>' || r_regionkey || '</r_regionkey><r_name>' || r_name || '</r_name></region>' AS value FROM region",
+)
+_add("list_entries", lambda s, d: lists.entries(table(s, d, "orders").select("o_orderkey", "o_orderstatus")), "SELECT o_orderkey AS key, o_orderstatus AS value FROM orders")
 
 # relations
 
 
 def _rel_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = adapter(spark, sf_dir, "orders").fill(lambda o: o.o_totalprice > 200000)
-    rows = relations.children(_table(spark, sf_dir, "customer"), ["c_custkey"], orders, ["o_custkey"], "orders")
+    rows = relations.children(table(spark, sf_dir, "customer"), ["c_custkey"], orders, ["o_custkey"], "orders")
     keys = F.transform("orders", lambda o: o["o_orderkey"])
     return rows.select("c_custkey", F.size("orders").cast("bigint").alias("n"), F.array_min(keys).alias("first"), F.array_max(keys).alias("last"))
 
@@ -336,103 +345,30 @@ _add(
 )
 _add(
     "rel_reference",
-    lambda s, d: relations.reference(_table(s, d, "customer"), ["c_nationkey"], _table(s, d, "nation").filter("n_regionkey < 3"), ["n_nationkey"], "nation", "n_nationkey").select("c_custkey", "nation.n_name"),
+    lambda s, d: relations.reference(table(s, d, "customer"), ["c_nationkey"], table(s, d, "nation").filter("n_regionkey < 3"), ["n_nationkey"], "nation", "n_nationkey").select("c_custkey", "nation.n_name"),
     "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3",
 )
 _add(
     "rel_attached",
-    lambda s, d: relations.attached(_table(s, d, "customer").filter("c_mktsegment = 'BUILDING'"), ["c_custkey"], _table(s, d, "orders"), ["o_custkey"]).select("o_orderkey"),
+    lambda s, d: relations.attached(table(s, d, "customer").filter("c_mktsegment = 'BUILDING'"), ["c_custkey"], table(s, d, "orders"), ["o_custkey"]).select("o_orderkey"),
     "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 )
 _add(
     "view_read_model",
-    lambda s, d: _table(s, d, "orders").join(_table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("o_totalprice > 300000").select("o_orderkey", "c_name", "n_name"),
+    lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("o_totalprice > 300000").select("o_orderkey", "c_name", "n_name"),
     "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000",
 )
 
-# writes, as the table's next state
-
-_SMALL = "o_orderkey < 1000"
-
-
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-
-
-ORDERS3 = _map("orders", "o_orderkey", {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double"})
-
-
-def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of orders below key 1000: every third price is raised; of those,
-    originals that are multiples of 9 are out of date."""
-    base = _orders(spark, sf_dir).filter(_SMALL).filter("o_orderkey % 3 = 0")
-    new = base.withColumn("o_totalprice", F.col("o_totalprice") + 100)
-    read = base.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 9 == 0, F.lit(-1.0)).otherwise(F.col("o_totalprice")))
-    return dml.changes(new, read, ORDERS3)
-
-
-def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, judged = dml.save(_orders(spark, sf_dir), ORDERS3, _edits(spark, sf_dir))
-    return dml.read_back(state, ORDERS3, judged, "unchanged")
-
-
-_add(
-    "dml_update_rows",
-    lambda s, d: dml.update_rows(_orders(s, d), ORDERS3, {"o_orderstatus": "X", "o_totalprice": lambda o: o.o_totalprice * 2}, lambda o: o.o_totalprice > 300000),
-    "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders",
-)
-_add("dml_delete", lambda s, d: dml.delete(_table(s, d, "open_orders"), OPEN_ORDERS, lambda o: o.status == "F"), f"SELECT * FROM {_OPEN_SQL} WHERE status IS DISTINCT FROM 'F'")
-_add(
-    "dml_delete_items",
-    lambda s, d: dml.delete_items(_orders(s, d), ORDERS3, _orders(s, d).filter("o_orderstatus = 'O'")),
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'",
-)
-_add(
-    "dml_insert",
-    lambda s, d: dml.insert(_orders(s, d), ORDERS3, _orders(s, d).filter("o_orderkey < 50").withColumn("o_orderkey", F.col("o_orderkey") + 90000000)),
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT o_orderkey + 90000000, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 50",
-)
-_add(
-    "dml_bulk_update",
-    lambda s, d: dml.bulk_update(_orders(s, d), ORDERS3, _orders(s, d).filter(_SMALL).withColumn("o_totalprice", F.lit(1.5)), ["o_totalprice"]),
-    f"SELECT o_orderkey, o_orderstatus, CASE WHEN {_SMALL} THEN 1.5 ELSE o_totalprice END AS o_totalprice FROM orders",
-)
-_add(
-    "dml_save_outcomes",
-    lambda s, d: dml.outcomes(_orders(s, d), ORDERS3, _edits(s, d)).select("_new.o_orderkey", "outcome"),
-    f"SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'Conflict' ELSE 'Success' END AS outcome FROM orders WHERE {_SMALL} AND o_orderkey % 3 = 0",
-)
-_add(
-    "dml_save_state",
-    lambda s, d: dml.save(_orders(s, d), ORDERS3, _edits(s, d))[0],
-    f"SELECT o_orderkey, o_orderstatus, CASE WHEN {_SMALL} AND o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice FROM orders",
-)
-_add(
-    "dml_read_back",
-    _read_back,
-    f"SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS o_totalprice FROM orders WHERE {_SMALL} AND o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0",
-)
-_add(
-    "audit_changes",
-    lambda s, d: audit.audit(_edits(s, d), ORDERS3).filter("key % 9 <> 0").select("key", "state", "property", F.col("new").cast("double").alias("new")),
-    f"SELECT o_orderkey::VARCHAR AS key, 'Modified' AS state, 'o_totalprice' AS property, o_totalprice + 100 AS new FROM orders WHERE {_SMALL} AND o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0",
-)
-_add(
-    "conflicts",
-    lambda s, d: audit.conflicts(_orders(s, d), ORDERS3, _edits(s, d)).select("key", "property", F.col("current").cast("double").alias("current"), F.col("attempted").cast("double").alias("attempted")),
-    f"SELECT o_orderkey::VARCHAR AS key, 'o_totalprice' AS property, o_totalprice AS current, o_totalprice + 100 AS attempted FROM orders WHERE {_SMALL} AND o_orderkey % 9 = 0",
-)
-
 # conversions
 
 
 def _conv(name: str, columns: str, make: Callable[[], dict], sql: str) -> None:
-    _add(name, lambda s, d: _table(s, d, "events").select("event_id", *[c.alias(n) for n, c in make().items()]), f"SELECT event_id, {sql} FROM events")
+    _add(name, lambda s, d: table(s, d, "events").select("event_id", *[c.alias(n) for n, c in make().items()]), f"SELECT event_id, {sql} FROM events")
 
 
 _conv("conv_date", "d", lambda: {"d": convert.to_date(F.col("ts")), "midnight": convert.date_to_timestamp(F.col("ts").cast("date"))}, "ts::DATE AS d, ts::DATE::TIMESTAMP AS midnight")
 _conv("conv_time", "t", lambda: {"t": convert.to_time(F.col("ts"))}, "strftime(ts, '%H:%M:%S.%f') AS t")
 _conv("conv_text", "t", lambda: {"t": convert.to_text(F.col("ts"), "timestamp_ntz")}, "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS t")
-_conv("conv_time_of_day", "s", lambda: {"s": F.expr("cast(extract(hour from (ts - cast(date_trunc('day', ts) as timestamp_ntz))) as bigint)")}, "hour(ts) AS s")
+_conv("conv_time_of_day", "s", lambda: {"s": (F.extract(F.lit("HOUR"), convert.time_of_day(F.col("ts"))) * 60 + F.extract(F.lit("MINUTE"), convert.time_of_day(F.col("ts")))).cast("bigint")}, "hour(ts) * 60 + minute(ts) AS s")
 _conv("conv_whole", "w", lambda: {"w": convert.to_whole(F.col("value"), "bigint")}, "round_even(value, 0)::BIGINT AS w")
 _conv("conv_enum", "e", lambda: {"e": convert.to_enum((F.col("event_id") % 3).cast("string"), {"Zero": 0, "One": 1, "Two": 2})}, "['Zero', 'One', 'Two'][(event_id % 3 + 1)] AS e")

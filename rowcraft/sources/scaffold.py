@@ -199,7 +199,7 @@ def relations(tables: Sequence[Table], irregular: Mapping[str, str] | None = Non
             twice = sum(o.table == fk.table for o in t.declared.foreign) > 1
             role = re.sub(r"_?(id|key)$", "", fk.columns[0], flags=re.IGNORECASE)
             one = pascal(role if twice else singular(fk.table, irregular))
-            many = pascal(plural(t.name, irregular)) + (f"By{pascal(role)}" if twice else "")
+            many = pascal(plural(singular(t.name, irregular), irregular)) + (f"By{pascal(role)}" if twice else "")
             unique = fk.columns == t.declared.key or fk.columns in t.declared.unique
             found.append(Relation(one, t.name, fk.columns, fk.table, target, False))
             found.append(Relation(pascal(singular(t.name, irregular)) if unique else many, fk.table, target, t.name, fk.columns, not unique))
