@@ -113,7 +113,7 @@ def pascal(name: str) -> str:
 IRREGULAR = {"people": "person", "children": "child", "men": "man", "women": "woman", "mice": "mouse", "geese": "goose", "feet": "foot", "teeth": "tooth", "oxen": "ox"}
 #: Nouns that are their own plural.
 UNCHANGING = frozenset("series species news sheep fish deer data equipment information".split())
-_LAST_WORD = re.compile(r"[A-Z]?[a-z]+$|[A-Z]+$|[^\W_]+$")
+_LAST_WORD = re.compile(r"[A-Z]?[a-z]+$|[A-Z]+$")
 
 
 def _ends(word: str) -> tuple[str, str]:
