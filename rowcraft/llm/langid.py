@@ -5,18 +5,22 @@ space) hashed to ``DIM`` columns, weighted by TF-IDF and scaled to length one.
 Document frequencies are counted over all training documents. The weights are
 fitted with follow-the-regularised-leader, whose elastic net drives most of
 them to exactly zero, on a bounded sample: at most about ``PER_LANGUAGE``
-documents of each language, chosen by a hash. A fifth of it is set aside to
-fit the temperature that calibrates the scores.
+documents of each language, chosen by a hash, and ``SAMPLE`` of all. A fifth of
+it is set aside to fit the temperature that calibrates the scores.
 
 The model has ``DIM`` columns times the number of languages, whatever the size
-of the corpus, and goes to the tasks with the function that uses it.
+of the corpus, and goes to the tasks with the function that uses it. Values of
+``lang`` with fewer than ``LEAST_DOCUMENTS`` documents are not learned, and at
+most ``MOST_LANGUAGES`` of the others are, the frequent ones first.
 
 Defined results
     null text, or a text without a letter: ``und`` with score 0.
     null ``lang``: not trained on. null ``doc_id``: its text form is empty.
     No training documents at all: every prediction is ``und`` with score 0.
-    Very long texts: read whole. Repeated rows: predicted alike.
-    Only ``doc_id``, ``text`` and, for training, ``lang`` are read.
+    Very long texts: read whole. Repeated rows: predicted alike. Equal scores:
+    the language that comes first by code point. Empty table: no rows.
+    Only ``doc_id``, ``text`` and, for training, ``lang`` are read, so clashing
+    columns cannot matter.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ DIM_BITS = 14
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
+#: Documents of the sample over all languages; bounds of the languages learned.
+SAMPLE = 20_000
+LEAST_DOCUMENTS, MOST_LANGUAGES = 3, 256
 EPOCHS = 3
 #: Learning rate, its offset, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.01
@@ -60,7 +67,8 @@ def ngrams(text: str) -> np.ndarray | None:
         return None
     codes = np.where(letter, codes, 32).astype(np.uint64)
     blank = ~letter
-    codes = np.concatenate(([np.uint64(32)], codes[~(blank & np.concatenate(([True], blank[:-1])))], [np.uint64(32)]))
+    codes = codes[~(blank & np.concatenate(([True], blank[:-1])))]
+    codes = np.concatenate(([np.uint64(32)], codes[:-1] if codes[-1] == 32 else codes, [np.uint64(32)]))
     found, gram = [], np.zeros(len(codes), dtype=np.uint64)
     for order in ORDERS:
         n = len(codes) - order + 1
@@ -167,25 +175,33 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     spark = labelled.sparkSession
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counted = materialise(map_arrow(known.select("text", "lang"), _frequencies, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")), "document-frequencies")
-    sizes = {r["lang"]: r["n"] for r in counted.filter(F.col("col") == DIM).collect()}
+    often = counted.filter((F.col("col") == DIM) & (F.col("n") >= LEAST_DOCUMENTS)).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros(DIM), np.zeros((DIM, 0)), 1.0)
+    per_language = min(per_language, SAMPLE // len(languages))
     frequency = np.zeros(DIM)
     for r in counted.filter(F.col("col") < DIM).groupBy("col").agg(F.sum("n").alias("n")).collect():
         frequency[r["col"]] = r["n"]
-    idf = np.log((1 + sum(sizes.values())) / (1 + frequency)) + 1
+    every = counted.filter(F.col("col") == DIM).agg(F.sum("n")).first()[0]
+    idf = np.log((1 + every) / (1 + frequency)) + 1
     share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes.items()], "lang string, share double")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    # At most as many rows as languages are learned.
     sample = known.join(F.broadcast(share), "lang").filter(part < F.col("share")).select("doc_id", "text", "lang")
     label = {lang: k for k, lang in enumerate(languages)}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            rows += [(r["doc_id"], r["columns"], r["values"], label[r["lang"]]) for r in batch.to_pylist()]
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3]))
-        made = [(np.array(c, dtype=np.int64), np.array(v), k) for _, c, v, k in rows]
+            columns, values = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+            ends = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            for k, (doc_id, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                part = slice(ends[k], ends[k + 1])
+                rows.append((doc_id, columns[part].astype(np.int32), values[part].astype(np.float32), label[lang]))
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3], len(r[1]), r[1].tobytes()))
+        made = [(c, v, k) for _, c, v, k in rows]
         tuned, trained = made[::5], [r for at, r in enumerate(made) if at % 5] or made
         weights = train(trained, len(languages))
         logits = np.array([v @ weights[c] for c, v, _ in tuned]).reshape(len(tuned), len(languages))
@@ -197,12 +213,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             made = [features(t.as_py(), idf) for t in batch.column(1)]
             keep = [k for k, m in enumerate(made) if m is not None]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array([made[k][0] for k in keep], pa.list_(pa.int64())), pa.array([made[k][1] for k in keep], pa.list_(pa.float64()))],
+                [batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array([made[k][0] for k in keep], pa.list_(pa.int32())), pa.array([made[k][1] for k in keep], pa.list_(pa.float32()))],
                 ["doc_id", "lang", "columns", "values"],
             )
 
     # The sample is bounded, so one task may fit on all of it.
-    encoded = map_arrow(sample.selectExpr("cast(doc_id as long) as doc_id", "text", "lang"), vectors, "doc_id long, lang string, columns array<long>, values array<double>")
+    encoded = map_arrow(sample.selectExpr("cast(doc_id as long) as doc_id", "text", "lang"), vectors, "doc_id long, lang string, columns array<int>, values array<float>")
     learnt = map_arrow(encoded.repartition(1), learn, "weights binary, temperature double").first()
     return Model(languages, idf, np.frombuffer(learnt["weights"]).reshape(DIM, len(languages)), learnt["temperature"])
 

@@ -1,149 +1,157 @@
-"""Quality classifier: perplexity under an interpolated Kneser-Ney model.
-
-The model is a modified Kneser-Ney trigram model over 64 classes of characters,
-trained on the whole texts that are labelled good. Counts are added up inside
-each partition and then by n-gram; contexts, continuation counts and backoff
-weights are grouped from them and joined, sharded by context. A document's
-perplexity comes from joining the counts of its n-grams with those tables. The
-classes bound a table to 64^3 rows whatever the corpus, so the joins move no
-document, and sums are made before anything is shuffled. A document is kept if
-its perplexity lies between two quantiles of its language's trusted documents.
+"""Quality classifier: perplexity under interpolated Kneser-Ney models.
+
+A model is a modified Kneser-Ney model of order four over characters as they are
+written (white space is one space, a line end stays one). There is one for each
+language with enough trusted documents, and one over all languages for the rest.
+They are trained on three quarters of the whole texts that are labelled good.
+Counts are added up inside each partition and then by n-gram; contexts,
+continuation counts and backoff weights are grouped from them and joined by
+context, so what is gathered grows with the corpus and is never in one place.
+
+A document's perplexity comes from joining the counts of its distinct n-grams
+with the tables of all orders. A table of at most ``MOST_BROADCAST_GRAMS`` rows is
+sent to every task, so that documents stay where they are; a larger one is
+sharded by n-gram, as are then the documents' counts. A document is kept if its
+perplexity is at most a quantile of that of the trusted documents of its
+language that were held out of the training, and at least another.
 
 Defined results
-    null or empty text: no n-gram, perplexity null, not kept.
-    null or unseen language: judged by the quantiles over all trusted documents.
+    null or empty text: no n-gram, perplexity null, not kept. Very long text:
+    read whole; memory holds its distinct n-grams.
+    null or unseen language, or one of fewer than ``LEAST_TRUSTED`` documents in
+    training: the model and the quantiles over all languages.
     No trusted documents: no model; perplexity null, nothing is kept.
+    A perplexity at a quantile is kept. Empty table: no rows.
     null ``doc_id``: scored, never trusted. Repeated rows: scored alike.
-    Only ``doc_id``, ``text`` and ``lang`` are read.
+    Only ``doc_id``, ``text`` and ``lang`` are read, so clashing columns cannot
+    matter.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.support import materialise, to_every_task
 
-CLASSES = 64
-#: Quantiles of trusted documents, and how far beyond them still passes.
+ORDER = 4
+#: Quantiles of held-out trusted documents, and how far beyond them still passes.
 LOW, HIGH, SLACK = 0.005, 0.995, 1.1
-#: Trusted ids up to this number are sent to every task; more are joined.
+#: One in so many trusted documents is held out for the quantiles.
+HELD_OUT = 4
+#: A language of fewer documents in training has no model of its own.
+LEAST_TRUSTED = 30
+#: A discount is at least this, so that what was never seen is never impossible.
+LEAST_DISCOUNT = 0.1
+#: Rows of a table of n-grams, and trusted ids, that are sent to every task.
+MOST_BROADCAST_GRAMS = 1_000_000
 MOST_BROADCAST_IDS = 1_000_000
-#: Rows of n-grams that a task hands over at once.
-_ASKED_ROWS = 200_000
 #: The same for the table of languages, so that a frequent language's documents
 #: stay where they are.
 MOST_BROADCAST_LANGUAGES = 10_000
+#: Rows of n-grams that a task hands over at once.
+_ASKED_ROWS = 200_000
 
-# Classes above the 26 lower-case ASCII letters.
-_UPPER, _DIGIT, _SPACE, _NEWLINE, _OTHER = 26, 27, 28, 29, 63
-_PUNCTUATION = {".": 30, ",": 31, "!": 32, "?": 33, "'": 34, '"': 34, "(": 35, ")": 35, "[": 35, "]": 35, "{": 35, "}": 35, "-": 36, ":": 38, ";": 38}
-_SYMBOL, _LETTER, _LETTERS = 37, 39, 23
-
-
-@cache
-def class_table() -> np.ndarray:
-    """The class of every code point."""
-    table = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for code in range(0x110000):
-        char = chr(code)
-        kind = unicodedata.category(char)
-        if "a" <= char <= "z":
-            table[code] = code - 97
-        elif char in _PUNCTUATION:
-            table[code] = _PUNCTUATION[char]
-        elif code in (10, 13):
-            table[code] = _NEWLINE
-        elif char.isspace():
-            table[code] = _SPACE
-        elif kind == "Lu" or kind == "Lt":
-            table[code] = _UPPER
-        elif kind[0] == "L" or kind[0] == "M":
-            table[code] = _LETTER + code % _LETTERS
-        elif kind[0] == "N":
-            table[code] = _DIGIT
-        elif code < 128:
-            table[code] = _SYMBOL
-    return table
-
-
-def trigrams(text: str) -> np.ndarray:
-    """Cells a * 64^2 + b * 64 + c of a whole text, begun by two line ends."""
+#: The model over all languages.
+ALL = "*"
+#: Bits of a character in an n-gram; code points beyond them share places.
+_BITS = 16
+_MASK = (1 << _BITS) - 1
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of a whole text as longs, begun by line ends."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    c = np.concatenate((np.full(2, _NEWLINE, np.int64), class_table()[codes].astype(np.int64)))
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+    blank = _BLANK[np.minimum(codes, len(_BLANK) - 1)]
+    c = np.where(blank, np.uint64(32), codes.astype(np.uint64) & np.uint64(_MASK))
+    if len(c):
+        c = c[~(blank & np.concatenate(([False], blank[:-1])))]  # a run is one space
+    c = np.concatenate((np.full(ORDER - 1, 10, np.uint64), c))
+    made = np.zeros(len(c) - ORDER + 1, dtype=np.uint64)
+    for k in range(ORDER):
+        made = (made << np.uint64(_BITS)) | c[k : k + len(made)]
+    return made.view(np.int64)
+
+
+_BLANK = np.array([chr(c).isspace() and c != 10 for c in range(0x3001)] + [False])
+
+
+def _tail(gram: Column, order: int) -> Column:
+    """The last characters of an n-gram."""
+    return gram if order == ORDER else gram.bitwiseAND(F.lit((1 << (_BITS * order)) - 1))
+
+
+def _context(gram: Column) -> Column:
+    """All but the last character."""
+    return F.shiftrightunsigned(gram, _BITS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CLASSES**3, dtype=np.int64)
+    """Counts of n-grams by language, added up batch by batch."""
     for batch in batches:
-        for text in batch.column(0):
-            counts += np.bincount(trigrams(text.as_py() or ""), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+        by_lang: dict[str, list[np.ndarray]] = {}
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(grams(text.as_py() or ""))
+        for lang, found in by_lang.items():
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(gram), np.int64))), pa.array(gram), pa.array(n)], ["model", "gram", "n"])
+
+
+def _discounted(counts: DataFrame) -> DataFrame:
+    """Adds ``rest`` = max(n - D(n), 0) / total and the context's ``gamma``; D by model."""
+    by_size = counts.groupBy("model").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("n") == k, 1))).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.least(F.lit(float(k)), F.greatest(F.lit(LEAST_DISCOUNT), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).alias(f"d{k}") for k in (1, 2, 3)]
+    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    # One row a model: as many as languages.
+    given = counts.join(to_every_task(by_size.select("model", *d), "discounts", MOST_BROADCAST_LANGUAGES), "model").withColumn("d", discount).withColumn("context", _context(F.col("gram")))
+    stats = given.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("taken"))
+    rest = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
+    return given.join(stats, ["model", "context"]).select("model", "gram", "context", rest.alias("rest"), (F.col("taken") / F.col("total")).alias("gamma"))
 
 
-def _discounted(counts: DataFrame, context: list[str]) -> DataFrame:
-    """Adds ``rest`` = max(n - D(n), 0) / total and the context's ``gamma``."""
-    by_size = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [0, *(max(1, x) for x in by_size)]
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [min(k, max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3)]
-    discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    stats = counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("taken"))
-    joined = counts.join(stats, context) if context else counts.crossJoin(F.broadcast(stats))
-    return joined.withColumns({"rest": F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"), "gamma": F.col("taken") / F.col("total")})
+class Model:
+    """Tables of interpolated modified Kneser-Ney models, by order from 1."""
 
+    def __init__(self, counts: DataFrame, names: list[str]):
+        """``counts``: (model, gram, n)."""
+        self.names = names
+        self.tables: dict[int, DataFrame] = {}
+        current = counts
+        for order in range(ORDER, 0, -1):
+            self.tables[order] = materialise(_discounted(current), f"order-{order}")
+            lower = _tail(F.col("gram"), order - 1)
+            current = current.groupBy("model", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        self.characters = self.tables[1].groupBy("model").agg(F.count(F.lit(1)).alias("characters"), F.first("gamma").alias("gamma1"))
 
-class Model:
-    """Tables of an interpolated modified Kneser-Ney trigram model."""
-
-    def __init__(self, counts: DataFrame):
-        """``counts``: (cell, n)."""
-        cell = F.col("cell")
-        third = counts.select((cell / CLASSES**2).cast("int").alias("a"), ((cell / CLASSES).cast("int") % CLASSES).alias("b"), (cell % CLASSES).cast("int").alias("c"), "n")
-        second = third.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n"))
-        first = second.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-        self.third = materialise(_discounted(third, ["a", "b"]), "trigrams")
-        self.second = materialise(_discounted(second, ["b"]), "bigrams")
-        self.first = materialise(_discounted(first, []), "unigrams")
-
-    def probabilities(self) -> np.ndarray:
-        """P(c | a, b) of all 64^3 cells."""
-        k = CLASSES
-        one, two, three = np.zeros(k), np.zeros((k, k)), np.zeros((k, k, k))
-        gamma1, gamma2, gamma3 = 1.0, np.ones(k), np.ones((k, k))
-        for r in self.first.collect():
-            one[r["c"]], gamma1 = r["rest"], r["gamma"]
-        for r in self.second.collect():
-            two[r["b"], r["c"]], gamma2[r["b"]] = r["rest"], r["gamma"]
-        cells = self.third.select("a", "b", "c", "rest", "gamma").toPandas()
-        three[cells.a, cells.b, cells.c] = cells.rest
-        gamma3[cells.a, cells.b] = cells.gamma
-        one = one + gamma1 / k
-        two = two + gamma2[:, None] * one[None, :]
-        return three + gamma3[:, :, None] * two[None, :, :]
+
+def is_held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("fold")), F.lit(HELD_OUT)) == 0
 
 
 def trusted(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
     """Documents labelled good and not toxic."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(F.broadcast(good) if good.count() <= most_broadcast else good, "doc_id", "left_semi")
+    return docs.join(to_every_task(good, "trusted", most_broadcast), "doc_id", "left_semi")
 
 
-def fit(texts: DataFrame) -> Model | None:
-    """A model of a column ``text``; None if there is none."""
-    counted = map_arrow(texts.select("text"), _count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def fit(docs: DataFrame, least_trusted: int = LEAST_TRUSTED) -> Model | None:
+    """Models from rows (text, lang); None if there is no text."""
+    known = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"))
+    counted = map_arrow(known, _count, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "counts")
-    return None if counted.isEmpty() else Model(counted)
+    if counted.isEmpty():
+        return None
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least_trusted) & (F.col("lang") != ALL)).limit(MOST_BROADCAST_LANGUAGES).collect()}
+    pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "gram", "n")
+    names = sorted(sizes)
+    return Model(counted.filter(F.col("model").isin(names)).unionByName(pooled) if names else pooled, names)
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,57 +164,62 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held, size = [], 0
         for k in range(batch.num_rows):
-            cells, times = np.unique(trigrams(batch.column(2)[k].as_py() or ""), return_counts=True)
-            held.append((k, task + at, *((cells, times) if len(cells) else (np.array([-1]), np.array([0])))))
-            at, size = at + 1, size + max(1, len(cells))
+            found, times = np.unique(grams(batch.column(3)[k].as_py() or ""), return_counts=True)
+            held.append((k, task + at, *((found, times) if len(found) else (np.array([0]), np.array([0])))))
+            at, size = at + 1, size + max(1, len(found))
             if size >= _ASKED_ROWS or k == batch.num_rows - 1:
-                source, row, cells, times = zip(*held, strict=True)
-                n = [len(c) for c in cells]
+                source, row, found, times = zip(*held, strict=True)
+                n = [len(c) for c in found]
                 taken = pa.array(np.repeat(source, n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(row, n)), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.concatenate(cells)), pa.array(np.concatenate(times))],
-                    ["row", "doc_id", "lang", "cell", "times"],
+                    [pa.array(np.repeat(row, n)), *[batch.column(c).take(taken) for c in range(3)], pa.array(np.concatenate(found)), pa.array(np.concatenate(times))],
+                    ["row", "doc_id", "lang", "model", "gram", "times"],
                 )
                 held, size = [], 0
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang, n_grams and perplexity of each whole text.
+def _key(model: str, gram: Column) -> Column:
+    """What tables of n-grams are sharded and joined by."""
+    return F.xxhash64(F.col(model), gram)
 
-    The counts of a document's n-grams are joined with the tables of all three
-    orders. The classes bound each table to 64^3 rows, so it is sent to every
-    task; what is shuffled is one partial sum a document.
-    """
+
+def score(docs: DataFrame, model: Model | None, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
+    """doc_id, lang, n_grams and perplexity of each whole text."""
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(lang as string) as lang", "text")
     if model is None:
-        n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-        return narrow.select("doc_id", "lang", n.alias("n_grams"), F.lit(None).cast("double").alias("perplexity"))
-    cell = F.col("cell")
-    parts = {"a": F.floor(cell / CLASSES**2), "b": F.floor(cell / CLASSES) % CLASSES, "c": cell % CLASSES}
-    asked = map_arrow(narrow, _asked, "row long, doc_id long, lang string, cell long, times long")
-    asked = asked.select("row", "doc_id", "lang", "times", *[c.cast("int").alias(n) for n, c in parts.items()])
+        return narrow.select("doc_id", "lang", F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("perplexity"))
+    own = F.when(F.col("lang").isin(model.names), F.col("lang")).otherwise(F.lit(ALL)) if model.names else F.lit(ALL)
+    asked = map_arrow(narrow.select("doc_id", "lang", own.alias("model"), "text"), _asked, "row long, doc_id long, lang string, model string, gram long, times long")
+    gram = F.col("gram")
+    for order in range(ORDER, 0, -1):
+        table = model.tables[order]
+        rest = to_every_task(table.select(_key("model", F.col("gram")).alias(f"k{order}"), F.col("rest").alias(f"rest{order}")), f"rest-{order}", most_broadcast)
+        asked = asked.withColumn(f"k{order}", _key("model", _tail(gram, order))).join(rest, f"k{order}", "left").drop(f"k{order}")
+        if order > 1:
+            gamma = table.groupBy("model", "context").agg(F.first("gamma").alias(f"gamma{order}")).select(_key("model", F.col("context")).alias(f"c{order}"), f"gamma{order}")
+            context = _context(_tail(gram, order))
+            asked = asked.withColumn(f"c{order}", _key("model", context)).join(to_every_task(gamma, f"gamma-{order}", most_broadcast), f"c{order}", "left").drop(f"c{order}")
+    asked = asked.join(to_every_task(model.characters, "characters", MOST_BROADCAST_LANGUAGES), "model")
     either = lambda name, default: F.coalesce(F.col(name), F.lit(default))
-    for table, keys, k in ((model.third, ["a", "b"], 3), (model.second, ["b"], 2), (model.first, [], 1)):
-        asked = asked.join(F.broadcast(table.select(*keys, "c", F.col("rest").alias(f"rest{k}"))), [*keys, "c"], "left")
-        gamma = table.select(*keys, F.col("gamma").alias(f"gamma{k}")).distinct()
-        asked = asked.join(F.broadcast(gamma), keys, "left") if keys else asked.withColumn("gamma1", F.lit(gamma.first()[0]))
-    p = either("rest1", 0.0) + F.col("gamma1") / CLASSES
-    p = either("rest2", 0.0) + either("gamma2", 1.0) * p
-    p = either("rest3", 0.0) + either("gamma3", 1.0) * p
+    p = either("rest1", 0.0) + F.col("gamma1") / (F.col("characters") + 1)
+    for order in range(2, ORDER + 1):
+        p = either(f"rest{order}", 0.0) + either(f"gamma{order}", 1.0) * p
     sums = asked.groupBy("row", "doc_id", "lang").agg(F.sum("times").alias("n_grams"), F.sum(-F.log(p) * F.col("times")).alias("cost"))
     return sums.select("doc_id", "lang", "n_grams", F.exp(F.col("cost") / F.nullif(F.col("n_grams"), F.lit(0))).alias("perplexity"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, least, most and kept."""
-    model = fit(trusted(docs.select("doc_id", "text"), labels))
+    held = is_held_out(F.col("doc_id"))
+    model = fit(trusted(docs.select("doc_id", "text", "lang").filter(~held), labels))
     scored = materialise(score(docs, model), "perplexities")
-    known = trusted(scored, labels)
+    known = trusted(scored.filter(held), labels)
     ends = F.percentile_approx("perplexity", [LOW, HIGH], 10_000).alias("ends")
-    by_lang = known.filter("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(ends)
-    by_lang = to_every_task(by_lang, "quantiles", MOST_BROADCAST_LANGUAGES)
+    names = model.names if model else []
+    by_lang = known.filter(F.col("lang").isin(names)) if names else known.limit(0)
+    by_lang = to_every_task(by_lang.groupBy(F.col("lang").alias("_lang")).agg(ends), "quantiles", MOST_BROADCAST_LANGUAGES)
     overall = known.agg(ends.alias("all_ends"))
-    joined = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").crossJoin(F.broadcast(overall))
+    joined = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").crossJoin(F.broadcast(overall))  # one row
     joined = joined.withColumn("ends", F.coalesce("ends", "all_ends"))
     least, most = F.col("ends")[0] / SLACK, F.col("ends")[1] * SLACK
     kept = F.coalesce(F.col("perplexity").between(least, most), F.lit(False))

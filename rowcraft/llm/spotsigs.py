@@ -11,6 +11,8 @@ prunes a comparison before the sets are read.
 first document of a range also goes to the range before it, so no order over
 the whole table is ever built and each text is shuffled once. Documents of one
 very frequent ``doc_id`` are split among ranges by the hash that orders them.
+Rows that are wholly equal are one row with a count before anything is sorted:
+each of them is the next of the one before it.
 
 Defined results
     null or empty text: 0 characters; the fingerprint of the empty text.
@@ -18,7 +20,8 @@ Defined results
     text without any spot: chains start at every word. Without words: the hash
     of the text is its one signature.
     null ``doc_id``: after all others. Equal ``doc_id``: ordered by a hash of
-    the text. One row: it is its own next. Empty table: no rows.
+    the text. One row: it is its own next. Empty table: no rows. Very long text:
+    read whole. A likeness that the lengths keep below ``PRUNED`` is 0.
     Only ``doc_id`` and ``text`` are read, so clashing columns cannot matter.
 """
 
@@ -36,8 +39,13 @@ from pyspark.sql import functions as F
 
 from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.quality_rules import STOP_WORDS
+from rowcraft.llm.support import to_every_task
 
 CHAIN = 2
+#: Two sets whose lengths can't give this likeness are not compared.
+PRUNED = 0.05
+#: Wholly equal rows up to this number of kinds are sent to every task.
+MOST_BROADCAST = 200_000
 #: A content word this many after the last anchor anchors a spot itself, so
 #: that text with few common words is covered too.
 FAR = 4
@@ -91,16 +99,28 @@ def written(found: np.ndarray) -> str:
     return found.astype(">u4").tobytes().hex()
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Distinct (key, tie, body) with their number ``n``; only repeated ones are grouped."""
+    known = ["key", "tie"]
+    many = to_every_task(rows.groupBy(*known).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "equal-rows", MOST_BROADCAST)
+    once = rows.withColumn("n", F.lit(1).cast("long"))
+    if many.isEmpty():
+        return once
+    grouped = rows.join(many, known).groupBy(*known, "n").agg(F.any_value("body").alias("body"))
+    return once.join(many.select(*known), known, "left_anti").unionByName(grouped)
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(place, guest, doc_id, body) sorted so that each row's next follows it.
+    """(place, guest, key, tie, body, n) sorted so that each row's next follows it.
 
-    Rows with ``guest`` are there only to be the next of the row before.
+    ``n`` rows are wholly equal. Rows with ``guest`` are there only to be the
+    next of the row before.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or RANGES * partitions
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    rows = _counted(docs.select(key.alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("body")).withColumn("tie", F.xxhash64("body")))
     # Only the balance of the ranges depends on these, not the result.
     points = [k / ranges for k in range(1, ranges)]
     cuts = rows.agg(F.percentile_approx("key", points, 10 * ranges)).first()[0] if points else []
@@ -114,7 +134,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         part = np.floor((ties.to_numpy(dtype=np.float64) / 2.0**64 + 0.5) * (upto - below)).astype(np.int64) + 1
         return pd.Series(len(edges) - below - np.minimum(part, upto - below)).astype("int32")
 
-    placed = rows.withColumn("tie", F.xxhash64("body")).withColumn("place", place("key", "tie"))
+    placed = rows.withColumn("place", place("key", "tie"))
     # One row a range: the first of it, and the range that needs it as a guest.
     heads = placed.groupBy("place").agg(F.max(F.struct("key", "tie")).alias("head"))
     found = sorted((r["place"], r["head"]["key"], r["head"]["tie"]) for r in heads.collect())
@@ -123,8 +143,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     joined = placed.join(guests, (F.col("key") == F.col("head_key")) & (F.col("tie") == F.col("head_tie")), "left")
     stay = F.struct(F.col("place").alias("place"), F.lit(False).alias("guest"))
     visit = F.struct(F.col("host").alias("place"), F.lit(True).alias("guest"))
-    dealt = joined.select("key", "tie", "body", F.explode(F.when(F.col("host").isNull(), F.array(stay)).otherwise(F.array(stay, visit))).alias("at"))
-    dealt = dealt.select("at.place", "at.guest", "key", "tie", "body").repartition(partitions, "place")
+    dealt = joined.select("key", "tie", "body", "n", F.explode(F.when(F.col("host").isNull(), F.array(stay)).otherwise(F.array(stay, visit))).alias("at"))
+    dealt = dealt.select("at.place", "at.guest", "key", "tie", "body", "n").repartition(partitions, "place")
     return dealt.sortWithinPartitions("place", "guest", F.desc("key"), F.desc("tie"))
 
 
@@ -142,20 +162,27 @@ def edited(text: str, following: str) -> str:
 def compare_with_edits(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
         for batch in batches:
-            for place, guest, key, body in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for place, guest, key, body, n in zip(*(batch.column(k) for k in range(5)), strict=True):
                 here = (place.as_py(), guest.as_py(), key.as_py(), text := body.as_py(), signatures(text, chain))
                 if held is not None and held[0] == here[0] and not held[1]:
                     out.append(_row(held, here, chain))
+                if not here[1] and n.as_py() > 1:
+                    again = _row(here, here, chain)
+                    for low in range(0, n.as_py() - 1, 1000):
+                        yield made([again] * min(1000, n.as_py() - 1 - low))
                 held = here
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                yield made(out)
                 out = []
 
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_arrow(with_next(docs).select("place", "guest", "key", "body"), run, fields)
+    return map_arrow(with_next(docs).select("place", "guest", "key", "body", "n"), run, fields)
 
 
 def _row(own: tuple, following: tuple, chain: int) -> tuple:
@@ -163,16 +190,17 @@ def _row(own: tuple, following: tuple, chain: int) -> tuple:
     changed = edited(text, following[3])
     other = signatures(changed, chain)
     digest = hashlib.sha256(changed.encode()).hexdigest()
-    return (None if key == _LEAST else key, len(text), digest, written(found), written(other), likeness(found, other), likeness(found, following[4]))
+    return (None if key == _LEAST else key, len(text), digest, written(found), written(other), likeness(found, other, PRUNED), likeness(found, following[4], PRUNED))
 
 
 def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates: (doc_id, class_id), and links (a, b, likeness) of classes.
+    """Near-duplicates: (doc_id, set_key, class_id), and links (a_key, b_key, a, b, likeness).
 
-    A class is all documents of one signature set; its id is their least
-    ``doc_id``. Sets are partitioned by length so that only neighbouring
-    partitions can reach the threshold. Within them two sets meet where they
-    share a signature of their prefixes; sets this alike must share one.
+    A class is all documents of one signature set, known by its ``set_key``; its
+    id is their least ``doc_id``, null if they have none. Sets are partitioned by
+    length so that only neighbouring partitions can reach the threshold. Within
+    them two sets meet where they share a signature of their prefixes; sets this
+    alike must share one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +211,17 @@ def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tupl
     sets = map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, spots array<long>")
     sets = sets.withColumn("set_key", F.sha2(F.array_join(F.transform("spots", lambda s: s.cast("string")), ","), 256))
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("spots").alias("spots"))
-    members = sets.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")
+    members = sets.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "set_key", "class_id")
     n = F.size("spots")
     width = F.log(F.lit(1 / threshold))
-    sized = classes.select("class_id", "spots", n.alias("n"), F.floor(F.log(n.cast("double")) / width).alias("part"))
+    sized = classes.select("set_key", "spots", n.alias("n"), F.floor(F.log(n.cast("double")) / width).alias("part"))
     prefix = F.slice("spots", 1, n - F.ceil(n * threshold).cast("int") + 1)
-    left = sized.select("class_id", "n", "part", F.explode(prefix).alias("spot"))
-    right = left.select(F.col("class_id").alias("b"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "spot")
-    meet = left.join(right, ["part", "spot"]).filter((F.col("class_id") != F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
-    pairs = meet.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
-    one, two = classes.select(F.col("class_id").alias("a"), F.col("spots").alias("x")), classes.select(F.col("class_id").alias("b"), F.col("spots").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness"))
+    left = sized.select("set_key", "n", "part", F.explode(prefix).alias("spot"))
+    right = left.select(F.col("set_key").alias("b_key"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "spot")
+    meet = left.join(right, ["part", "spot"]).filter((F.col("set_key") != F.col("b_key")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    pairs = meet.select(F.least("set_key", "b_key").alias("a_key"), F.greatest("set_key", "b_key").alias("b_key")).distinct()
+    one, two = (classes.select(F.col("set_key").alias(f"{k}_key"), F.col("class_id").alias(f"{k}_id"), F.col("spots").alias(f"{k}_spots")) for k in "ab")
+    both = F.size(F.array_intersect("a_spots", "b_spots"))
+    alike = (both / (F.size("a_spots") + F.size("b_spots") - both)).alias("likeness")
+    scored = pairs.join(one, "a_key").join(two, "b_key").select("a_key", "b_key", F.least("a_id", "b_id").alias("a"), F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), F.greatest("a_id", "b_id")).alias("b"), alike)
     return members, scored.filter(F.col("likeness") >= threshold)

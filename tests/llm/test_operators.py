@@ -274,26 +274,53 @@ def test_components(spark):
 # 9
 
 
+def brute_spots(text):
+    """Spots by the words of the module, as (spot, occurrence)."""
+    words_ = [w for w in (raw.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())) for raw in re.findall(r"[^ \t-\r]+", text.lower())) if w]
+    content = [w for w in words_ if w not in spotsigs.STOP_WORDS]
+    found, seen, since = [], 0, 0
+    for w in words_:
+        if w in spotsigs.STOP_WORDS:
+            found.append((w, seen))
+            since = 0
+        else:
+            if since >= 4:
+                found.append(("", seen))
+            since, seen = since + 1, seen + 1
+    spots = [(a, *content[at : at + 2]) for a, at in found if at < len(content)]
+    spots = spots or [tuple(words_[k : k + 2]) for k in range(len(words_))] or [(text,)]
+    times = Counter()
+    return {(s, times.update([s]) or times[s]) for s in spots}
+
+
 def test_spotsigs(odd, none):
-    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
+    rows = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: -r[0])
     got = spotsigs.compare_with_edits(odd).collect()
-    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
-    single = [d for d, n in Counter(d for d, _ in rows).items() if n == 1]
-    order = sorted((d for d, _ in rows if d is not None), reverse=True)
-    texts = dict(rows)
+    assert Counter(-1 if r.doc_id is None else r.doc_id for r in got) == Counter(d for d, _ in rows)
+    ids = Counter(d for d, _ in rows)
     by_id = {r.doc_id: r for r in got}
-    for d in single:
-        at = order.index(d)
-        if at + 1 < len(order) and order[at + 1] in single:
-            edited = spotsigs.edited(texts[d], texts[order[at + 1]])
+    for k, (d, text) in enumerate(rows):
+        following, after = rows[(k + 1) % len(rows)]
+        if ids[d] == 1 and ids[following] == 1:
+            n = len(text) // 3
+            edited = text[: len(text) - n] + after[:n]
+            a, b, c = map(brute_spots, (text, edited, after))
+            like = lambda x, y: len(x & y) / len(x | y) if min(len(x), len(y)) >= 0.05 * max(len(x), len(y)) else 0.0
             r = by_id[d]
-            a, b, c = (set(spotsigs.signatures(t).tolist()) for t in (texts[d], edited, texts[order[at + 1]]))
-            assert r.n_chars == len(texts[d]) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert r.near_edited == pytest.approx(len(a & b) / len(a | b)) and r.near_next == pytest.approx(len(a & c) / len(a | c))
-            assert r.fingerprint == spotsigs.written(spotsigs.signatures(texts[d]))
+            assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+            assert len(r.fingerprint) == 8 * len(a) and len(r.edited_fingerprint) == 8 * len(b)
     assert spotsigs.compare_with_edits(none).count() == 0
 
 
+def test_spotsigs_of_equal_rows(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 1000, 700).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 1000, "the same text").otherwise(F.concat(F.lit("the text "), "id")).alias("text"))
+    sent = spotsigs.with_next(docs, 30)
+    assert sent.filter("key = 700").count() <= 2 and sent.filter("not guest").agg(F.sum("n")).first()[0] == 3000
+    got = spotsigs.compare_with_edits(docs).filter("doc_id = 700").groupBy("edited_sha256", "near_next").count().collect()
+    assert sum(r["count"] for r in got) == 1000 and sorted(r["count"] for r in got) == [1, 999] and [r.near_next for r in got if r["count"] == 999] == [1.0]
+
+
 def test_spotsigs_next_wraps_at_any_partitioning(spark):
     docs = spark.range(300).select((F.col("id") * 7 % 300).alias("doc_id"), F.concat(F.lit("the text number "), F.col("id").cast("string")).alias("text"))
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -305,6 +332,7 @@ def test_spotsigs_next_wraps_at_any_partitioning(spark):
     hot = docs.withColumn("doc_id", F.when(F.col("doc_id") > 100, 150).otherwise(F.col("doc_id")))
     found = spotsigs.with_next(hot, 20).filter("not guest").collect()
     assert len(found) == 300 and len({r.place for r in found if r.key == 150}) > 10
+    assert all(r.n == 1 for r in found)
     ordered = sorted(found, key=lambda r: (-r.key, -r.tie))
     assert [r.place for r in ordered] == sorted(r.place for r in found)
     following = [b.body for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)]
@@ -323,3 +351,8 @@ def test_spotsigs_pairs(odd):
     heads = sorted(set(classes.values()))
     expected = {(a, b) for a in heads for b in heads if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
     assert {(r.a, r.b) for r in found.collect()} == expected
+    # one id on two texts, and none at all: classes are told apart by their sets
+    mixed = docs.sparkSession.createDataFrame([(1, "the red fox and the dog"), (1, "the red fox and the dog"), (1, "the blue fox of the dog to me"), (None, "the red fox and the cat")], "doc_id long, text string")
+    members, found = spotsigs.similar(mixed, 0.2)
+    assert members.select("set_key").distinct().count() == 3 and members.count() == 4
+    assert [(r.a, r.b) for r in found.collect()] == [(1, None)]
