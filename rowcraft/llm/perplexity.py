@@ -42,7 +42,7 @@ from rowcraft.llm.support import materialise, to_every_task
 
 ORDER = 4
 #: Quantiles of held-out trusted documents, and how far beyond them still passes.
-LOW, HIGH, SLACK = 0.005, 0.995, 1.1
+LOW, HIGH, SLACK = 0.01, 0.95, 1.2
 #: One in so many trusted documents is held out for the quantiles.
 HELD_OUT = 4
 #: A language of fewer documents in training has no model of its own.
@@ -50,7 +50,7 @@ LEAST_TRUSTED = 30
 #: A discount is at least this, so that what was never seen is never impossible.
 LEAST_DISCOUNT = 0.1
 #: Rows of a table of n-grams, and trusted ids, that are sent to every task.
-MOST_BROADCAST_GRAMS = 1_000_000
+MOST_BROADCAST_GRAMS = 5_000_000
 MOST_BROADCAST_IDS = 1_000_000
 #: The same for the table of languages, so that a frequent language's documents
 #: stay where they are.

@@ -1,4 +1,4 @@
-"""The pipeline against its stages by brute force, and its registration."""
+"""The pipeline against its stages by brute force, its odd rows, and its registration."""
 
 import os
 import struct
@@ -6,9 +6,9 @@ import struct
 import pytest
 
 import __spark_entry__
-from rowcraft.llm import support
+from rowcraft.llm import similar_texts, support
 from tests.llm.conftest import made
-from tests.llm.test_operators import brute_fingerprint, measured, removed
+from tests.llm.test_operators import measured, removed
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -23,6 +23,18 @@ def sf_dir(spark, tmp_path_factory):
     return path
 
 
+def alike(texts):
+    """Groups of linked documents as {doc_id: least of its group}, all pairs compared."""
+    prints = {d: similar_texts.fingerprint(similar_texts.shingles(t.encode())) for d, t in texts.items()}
+    least = {d: d for d in texts}
+    for _ in texts:
+        for d in texts:
+            for e in texts:
+                if sum(int(x ^ y).bit_count() for x, y in zip(prints[d], prints[e], strict=True)) <= similar_texts.radius():
+                    least[d] = least[e] = min(least[d], least[e])
+    return least
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}
@@ -34,11 +46,10 @@ def test_stages(spark, sf_dir):
     assert docs.columns == columns and kept == {d for d, t in texts.items() if measured(t)[0] >= 50 and "###" not in t}
 
     docs = near(spark, docs, sf_dir)
-    prints = {d: brute_fingerprint(texts[d]) for d in kept}
     left = {r.doc_id for r in docs.collect()}
-    assert docs.columns == columns and 0 in left and 1 not in left
-    groups = {d: min(e for e in kept if (prints[d] ^ prints[e]).bit_count() <= 2) for d in kept}
-    assert left <= {d for d in kept if groups[d] == d}
+    groups = alike({d: texts[d] for d in kept})
+    assert docs.columns == columns and 0 in left and 1 not in left and 2 not in left
+    assert left == {d for d in kept if groups[d] == d}
 
     docs = passages(spark, docs, sf_dir)
     expected = {d: (n, words) for d, _, n, words in removed([(d, texts[d]) for d in left], 50)}
@@ -60,6 +71,17 @@ def test_run(spark, sf_dir):
     assert a == b and a
 
 
+def test_stages_on_odd_rows_and_none(spark, odd, none):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = {(r.doc_id, r["size"]) for r in docs.collect()}
+            docs = support.materialise(stage(spark, docs, ""), name)
+            assert docs.columns == odd.columns and {(r.doc_id, r["size"]) for r in docs.collect()} <= before
+        packed = corpus_pipeline.pack(spark, docs, "").collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    assert not packed
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
