@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,17 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError(f"spark.checkpoint.dir is unset; {master} needs a folder that its executors share")
-        own = tempfile.mkdtemp(prefix="rowcraft-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = f"file://{_own_dir()}"
     return found
 
 
+@cache
+def _own_dir() -> str:
+    made = tempfile.mkdtemp(prefix="rowcraft-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in that folder; ``drop_scratch`` deletes what is written there."""
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,10 +2,12 @@
 
 from dataclasses import replace
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from rowcraft.functions.scratch import scratch_dir
 from rowcraft.operators import audit, dml
 from rowcraft.operators.cursor import Cursor
 from rowcraft.operators.entity import EntityMap, MappingError
@@ -245,3 +247,12 @@ def test_cursor(spark):
     got = c.update_batch(critters)
     assert sorted(tuple(r) for r in got.collect()) == [(2, "Bongo", 25), (3, "Pip", 30), (4, "Dot", None)]
     assert c.record_count == 3 and c.requery() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = lambda master, conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError, match="share"):
+            scratch_dir(session(master, {}))
+        assert scratch_dir(session(master, {"spark.checkpoint.dir": "hdfs:/x"})) == "hdfs:/x"
+    assert scratch_dir(session("local[*]", {})) == scratch_dir(session("local", {}))
