@@ -9,7 +9,8 @@ continuation counts and backoff weights are grouped from them and joined by
 context, so what is gathered grows with the corpus and is never in one place.
 
 A document's perplexity comes from joining the counts of its distinct n-grams
-with the tables of all orders. A table of at most ``MOST_BROADCAST_GRAMS`` rows is
+with the tables of all orders; those of an n-gram's shorter ends matter only where
+it was never seen itself. A table of at most ``MOST_BROADCAST_GRAMS`` rows is
 sent to every task, so that documents stay where they are; a larger one is
 sharded by n-gram, as are then the documents' counts. A document is kept if its
 perplexity is at most a quantile of that of the trusted documents of its
@@ -117,18 +118,26 @@ def _discounted(counts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Tables of interpolated modified Kneser-Ney models, by order from 1."""
+    """Tables (model, gram, context, p, gamma) of interpolated modified Kneser-Ney models, by order from 1."""
 
     def __init__(self, counts: DataFrame, names: list[str]):
         """``counts``: (model, gram, n)."""
         self.names = names
-        self.tables: dict[int, DataFrame] = {}
+        parts: dict[int, DataFrame] = {}
         current = counts
         for order in range(ORDER, 0, -1):
-            self.tables[order] = materialise(_discounted(current), f"order-{order}")
+            parts[order] = materialise(_discounted(current), f"order-{order}")
             lower = _tail(F.col("gram"), order - 1)
             current = current.groupBy("model", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        self.characters = self.tables[1].groupBy("model").agg(F.count(F.lit(1)).alias("characters"), F.first("gamma").alias("gamma1"))
+        unseen = F.first("gamma") / (F.count(F.lit(1)) + 1)
+        self.unseen = to_every_task(parts[1].groupBy("model").agg(unseen.alias("unseen")), "unseen", MOST_BROADCAST_LANGUAGES)
+        self.tables = {1: parts[1].join(self.unseen, "model").withColumn("p", F.col("rest") + F.col("unseen"))}
+        for order in range(2, ORDER + 1):
+            # The end of an n-gram that was seen was seen too.
+            below = self.tables[order - 1].select("model", F.col("gram").alias("tail"), F.col("p").alias("below"))
+            joined = parts[order].withColumn("tail", _tail(F.col("gram"), order - 1)).join(below, ["model", "tail"])
+            made = joined.withColumn("p", F.col("rest") + F.col("gamma") * F.col("below"))
+            self.tables[order] = materialise(made.select("model", "gram", "context", "p", "gamma"), f"p-{order}")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -183,6 +192,30 @@ def _key(model: str, gram: Column) -> Column:
     return F.xxhash64(F.col(model), gram)
 
 
+def _look_up(asked: DataFrame, table: DataFrame, key: Column, needed: Column, most_broadcast: int) -> DataFrame:
+    """Joins a table of (_k, a value). If it is sent to every task, only rows that need it look."""
+    found = materialise(table, "looked-up")
+    small = found.count() <= most_broadcast
+    return asked.withColumn("_k", F.when(needed, key) if small else key).join(F.broadcast(found) if small else found, "_k", "left").drop("_k")
+
+
+def with_probability(asked: DataFrame, model: Model, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
+    """Adds ``p`` of each (model, gram), from the longest end of it that was seen."""
+    gram, needed, columns = F.col("gram"), F.lit(True), asked.columns
+    for order in range(ORDER, 0, -1):
+        table, end = model.tables[order], _tail(gram, order)
+        asked = _look_up(asked, table.select(_key("model", gram).alias("_k"), F.col("p").alias(f"p{order}")), _key("model", end), needed, most_broadcast)
+        needed = needed & F.col(f"p{order}").isNull()
+        if order > 1:
+            gamma = table.groupBy("model", "context").agg(F.first("gamma").alias(f"gamma{order}")).select(_key("model", F.col("context")).alias("_k"), f"gamma{order}")
+            asked = _look_up(asked, gamma, _key("model", _context(end)), needed, most_broadcast)
+    asked = asked.join(model.unseen, "model")
+    p = F.coalesce("p1", "unseen")
+    for order in range(2, ORDER + 1):
+        p = F.coalesce(F.col(f"p{order}"), F.coalesce(F.col(f"gamma{order}"), F.lit(1.0)) * p)
+    return asked.select(*columns, p.alias("p"))
+
+
 def score(docs: DataFrame, model: Model | None, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
     """doc_id, lang, n_grams and perplexity of each whole text."""
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(lang as string) as lang", "text")
@@ -190,21 +223,7 @@ def score(docs: DataFrame, model: Model | None, most_broadcast: int = MOST_BROAD
         return narrow.select("doc_id", "lang", F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("perplexity"))
     own = F.when(F.col("lang").isin(model.names), F.col("lang")).otherwise(F.lit(ALL)) if model.names else F.lit(ALL)
     asked = map_arrow(narrow.select("doc_id", "lang", own.alias("model"), "text"), _asked, "row long, doc_id long, lang string, model string, gram long, times long")
-    gram = F.col("gram")
-    for order in range(ORDER, 0, -1):
-        table = model.tables[order]
-        rest = to_every_task(table.select(_key("model", F.col("gram")).alias(f"k{order}"), F.col("rest").alias(f"rest{order}")), f"rest-{order}", most_broadcast)
-        asked = asked.withColumn(f"k{order}", _key("model", _tail(gram, order))).join(rest, f"k{order}", "left").drop(f"k{order}")
-        if order > 1:
-            gamma = table.groupBy("model", "context").agg(F.first("gamma").alias(f"gamma{order}")).select(_key("model", F.col("context")).alias(f"c{order}"), f"gamma{order}")
-            context = _context(_tail(gram, order))
-            asked = asked.withColumn(f"c{order}", _key("model", context)).join(to_every_task(gamma, f"gamma-{order}", most_broadcast), f"c{order}", "left").drop(f"c{order}")
-    asked = asked.join(to_every_task(model.characters, "characters", MOST_BROADCAST_LANGUAGES), "model")
-    either = lambda name, default: F.coalesce(F.col(name), F.lit(default))
-    p = either("rest1", 0.0) + F.col("gamma1") / (F.col("characters") + 1)
-    for order in range(2, ORDER + 1):
-        p = either(f"rest{order}", 0.0) + either(f"gamma{order}", 1.0) * p
-    sums = asked.groupBy("row", "doc_id", "lang").agg(F.sum("times").alias("n_grams"), F.sum(-F.log(p) * F.col("times")).alias("cost"))
+    sums = with_probability(asked, model, most_broadcast).groupBy("row", "doc_id", "lang").agg(F.sum("times").alias("n_grams"), F.sum(-F.log("p") * F.col("times")).alias("cost"))
     return sums.select("doc_id", "lang", "n_grams", F.exp(F.col("cost") / F.nullif(F.col("n_grams"), F.lit(0))).alias("perplexity"))
 
 
