@@ -16,12 +16,18 @@ sharded by n-gram, as are then the documents' counts. A document is kept if its
 perplexity is at most a quantile of that of the trusted documents of its
 language that were held out of the training, and at least another.
 
+Toxic words hardly change a document's perplexity. So text that is labelled toxic
+trains models in the same way, and a document's toxicity is how much likelier its
+n-grams get, on average, if a small share of its characters came from there. It is
+kept only if that is at most some times a quantile of the held-out trusted ones'.
+
 Defined results
     null or empty text: no n-gram, perplexity null, not kept. Very long text:
     read whole; memory holds its distinct n-grams.
     null or unseen language, or one of fewer than ``LEAST_TRUSTED`` documents in
     training: the model and the quantiles over all languages.
-    No trusted documents: no model; perplexity null, nothing is kept.
+    No trusted documents: no model; perplexity null, nothing is kept. None
+    labelled toxic: toxicity 0.
     A perplexity at a quantile is kept. Empty table: no rows.
     null ``doc_id``: scored, never trusted. Repeated rows: scored alike.
     Only ``doc_id``, ``text`` and ``lang`` are read, so clashing columns cannot
@@ -44,6 +50,12 @@ from rowcraft.llm.support import materialise, to_every_task
 ORDER = 4
 #: Quantiles of held-out trusted documents, and how far beyond them still passes.
 LOW, HIGH, SLACK = 0.01, 0.95, 1.2
+#: Share of a text's characters that toxic text may have, and how many times
+#: likelier than in trusted text an n-gram must be there to count.
+SHARE, LEAST_RATIO = 0.01, 4.0
+#: Quantile of the toxicity of held-out trusted documents, and how many times as
+#: much still passes.
+TOXIC, TOXIC_SLACK = 0.95, 4.0
 #: One in so many trusted documents is held out for the quantiles.
 HELD_OUT = 4
 #: A language of fewer documents in training has no model of its own.
@@ -150,6 +162,12 @@ def trusted(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROAD
     return docs.join(to_every_task(good, "trusted", most_broadcast), "doc_id", "left_semi")
 
 
+def toxic_ones(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """Documents labelled toxic."""
+    bad = labels.filter("toxic = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(to_every_task(bad, "toxic", most_broadcast), "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, least_trusted: int = LEAST_TRUSTED) -> Model | None:
     """Models from rows (text, lang); None if there is no text."""
     known = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"))
@@ -216,30 +234,55 @@ def with_probability(asked: DataFrame, model: Model, most_broadcast: int = MOST_
     return asked.select(*columns, p.alias("p"))
 
 
-def score(docs: DataFrame, model: Model | None, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, n_grams and perplexity of each whole text."""
+def contrast(model: Model, toxic: Model, most_broadcast: int = MOST_BROADCAST_GRAMS) -> tuple[list[str], DataFrame]:
+    """Names of the models that both have, and (_k, weight) of n-grams that toxic text has far more often.
+
+    The weight is how much likelier an n-gram gets if ``SHARE`` of a text's
+    characters come from the toxic model, as a logarithm.
+    """
+    names = sorted(set(model.names) & set(toxic.names))
+    grams = toxic.tables[ORDER].filter(F.col("model").isin(ALL, *names)).select("model", "gram", F.col("p").alias("p_toxic"))
+    ratio = F.col("p_toxic") / F.col("p")
+    weight = F.log(1 - SHARE + SHARE * ratio)
+    return names, with_probability(grams, model, most_broadcast).filter(ratio >= LEAST_RATIO).select(_key("model", F.col("gram")).alias("_k"), weight.alias("weight"))
+
+
+def _model_of(names: list[str]) -> Column:
+    return F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit(ALL)) if names else F.lit(ALL)
+
+
+def score(docs: DataFrame, model: Model | None, most_broadcast: int = MOST_BROADCAST_GRAMS, toxic: Model | None = None) -> DataFrame:
+    """doc_id, lang, n_grams, perplexity and toxicity of each whole text."""
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(lang as string) as lang", "text")
     if model is None:
-        return narrow.select("doc_id", "lang", F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("perplexity"))
-    own = F.when(F.col("lang").isin(model.names), F.col("lang")).otherwise(F.lit(ALL)) if model.names else F.lit(ALL)
-    asked = map_arrow(narrow.select("doc_id", "lang", own.alias("model"), "text"), _asked, "row long, doc_id long, lang string, model string, gram long, times long")
-    sums = with_probability(asked, model, most_broadcast).groupBy("row", "doc_id", "lang").agg(F.sum("times").alias("n_grams"), F.sum(-F.log("p") * F.col("times")).alias("cost"))
-    return sums.select("doc_id", "lang", "n_grams", F.exp(F.col("cost") / F.nullif(F.col("n_grams"), F.lit(0))).alias("perplexity"))
+        return narrow.select("doc_id", "lang", F.lit(0).cast("long").alias("n_grams"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "toxicity")])
+    asked = map_arrow(narrow.select("doc_id", "lang", _model_of(model.names).alias("model"), "text"), _asked, "row long, doc_id long, lang string, model string, gram long, times long")
+    told = with_probability(asked, model, most_broadcast)
+    if toxic is None:
+        told = told.withColumn("weight", F.lit(0.0))
+    else:
+        names, weights = contrast(model, toxic, most_broadcast)
+        told = _look_up(told, weights, F.xxhash64(_model_of(names), F.col("gram")), F.lit(True), most_broadcast)
+    cost, gain = F.sum(-F.log("p") * F.col("times")), F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("times"))
+    sums = told.groupBy("row", "doc_id", "lang").agg(F.sum("times").alias("n_grams"), cost.alias("cost"), gain.alias("gain"))
+    n = F.nullif(F.col("n_grams"), F.lit(0))
+    return sums.select("doc_id", "lang", "n_grams", F.exp(F.col("cost") / n).alias("perplexity"), (F.col("gain") / n).alias("toxicity"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity, least, most and kept."""
+    """doc_id, lang, n_grams, perplexity, least, most, toxicity, toxic_most and kept."""
     held = is_held_out(F.col("doc_id"))
-    model = fit(trusted(docs.select("doc_id", "text", "lang").filter(~held), labels))
-    scored = materialise(score(docs, model), "perplexities")
+    taught = docs.select("doc_id", "text", "lang").filter(~held)
+    model, toxic = fit(trusted(taught, labels)), fit(toxic_ones(taught, labels))
+    scored = materialise(score(docs, model, toxic=toxic), "perplexities")
     known = trusted(scored.filter(held), labels)
-    ends = F.percentile_approx("perplexity", [LOW, HIGH], 10_000).alias("ends")
+    found = F.array_append(F.percentile_approx("perplexity", [LOW, HIGH], 10_000), F.percentile_approx("toxicity", TOXIC, 10_000))
     names = model.names if model else []
     by_lang = known.filter(F.col("lang").isin(names)) if names else known.limit(0)
-    by_lang = to_every_task(by_lang.groupBy(F.col("lang").alias("_lang")).agg(ends), "quantiles", MOST_BROADCAST_LANGUAGES)
-    overall = known.agg(ends.alias("all_ends"))
+    by_lang = to_every_task(by_lang.groupBy(F.col("lang").alias("_lang")).agg(found.alias("ends")), "quantiles", MOST_BROADCAST_LANGUAGES)
+    overall = known.agg(found.alias("all_ends"))
     joined = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").crossJoin(F.broadcast(overall))  # one row
     joined = joined.withColumn("ends", F.coalesce("ends", "all_ends"))
-    least, most = F.col("ends")[0] / SLACK, F.col("ends")[1] * SLACK
-    kept = F.coalesce(F.col("perplexity").between(least, most), F.lit(False))
-    return joined.select("doc_id", "lang", "n_grams", "perplexity", least.alias("least"), most.alias("most"), kept.alias("kept"))
+    least, most, toxic_most = F.col("ends")[0] / SLACK, F.col("ends")[1] * SLACK, F.col("ends")[2] * TOXIC_SLACK
+    kept = F.coalesce(F.col("perplexity").between(least, most) & (F.col("toxicity") <= toxic_most), F.lit(False))
+    return joined.select("doc_id", "lang", "n_grams", "perplexity", least.alias("least"), most.alias("most"), "toxicity", toxic_most.alias("toxic_most"), kept.alias("kept"))

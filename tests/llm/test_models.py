@@ -153,6 +153,43 @@ def test_perplexity_of_any_plan(spark, none):
     assert perplexity.judge(docs, labels.limit(0)).filter("kept or perplexity is not null").count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Toxic text of a language with a model of its own, and of one without."""
+    pick = np.random.default_rng(5)
+    mixed = lambda text: " ".join(pick.choice([*text.split(), "zogwump", "krizzle"], size=40))
+    bad = spark.createDataFrame([*[(k, mixed(EN), "en") for k in range(300, 420)], *[(k, mixed(DE), "de") for k in range(420, 430)]], "doc_id long, text string, lang string")
+    docs = corpus(spark).filter("doc_id < 240").unionByName(bad)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") >= 300).cast("int").alias("toxic"))
+    got = {r.doc_id: r for r in perplexity.judge(docs, labels).collect()}
+    rows = docs.withColumn("held", perplexity.is_held_out(F.col("doc_id"))).collect()
+    taught = {toxic: [r for r in rows if not r.held and (r.doc_id >= 300) == toxic] for toxic in (False, True)}
+    texts = lambda toxic, lang: [r.text for r in taught[toxic] if lang in (None, r.lang)]
+    models = {lang: [brute_model(texts(toxic, lang))[0] for toxic in (False, True)] for lang in ("en", None)}
+    seen = {lang: {g for t in texts(True, lang) for g in brute_grams(t)} for lang in ("en", None)}
+    own = {lang: brute_model(texts(False, lang))[0] for lang in ("en", "de", "fr")}
+
+    def weight(g, lang):
+        # Other languages' n-grams are met by the weights of the models over all.
+        ratio = models[lang][1](g) / models[lang][0](g) if g in seen[lang] else 0
+        return math.log(1 - perplexity.SHARE + perplexity.SHARE * ratio) if ratio >= perplexity.LEAST_RATIO else 0.0
+
+    for r in rows:
+        found, lang = brute_grams(r.text), "en" if r.lang == "en" else None
+        assert got[r.doc_id].toxicity == pytest.approx(sum(weight(g, lang) for g in found) / len(found))
+        assert got[r.doc_id].perplexity == pytest.approx(math.exp(-sum(map(math.log, map(own[r.lang], found))) / len(found)))
+    held = [r.doc_id for r in rows if r.held]
+    assert not any(got[k].kept for k in held if k >= 300) and np.mean([got[k].kept for k in held if k < 240]) > 0.9
+
+
+def test_toxicity_of_any_plan(spark):
+    docs = corpus(spark)
+    model, toxic = (perplexity.fit(docs.select("text", "lang").filter(f)) for f in ("doc_id % 5 > 0", "doc_id % 5 = 0"))
+    sent, joined = ({r.doc_id: r.toxicity for r in perplexity.score(docs, model, most, toxic).collect()} for most in (10**6, 0))
+    assert sent.keys() == joined.keys() and any(sent.values())
+    assert all(sent[k] == pytest.approx(joined[k]) if sent[k] is not None else joined[k] is None for k in sent)
+    assert not any(r.toxicity for r in perplexity.score(docs, model).collect())
+
+
 PAGES = [
     ("<body><header><h1>Site</h1></header><nav><a>x</a></nav><main><article><header><h1>A &amp; B</h1></header><p>Hello   <b>bold</b> text<br>line<p>Second<ul><li>one<li>two</ul>"
      "<aside>side</aside><form><input>f</form><section class='comments'><article><p>Nice post, I like it very much, a long comment</p></article></section></article></main><footer>f</footer>", "A & B\nHello bold text line\nSecond\none\ntwo"),
