@@ -16,6 +16,8 @@ Defined results
     null text: size 0; null source: a source of its own, ordered last.
     A source whose size is 0 has target 0; its documents are not emitted.
     null ``doc_id`` and repeated rows: equal rows share one draw.
+    Empty table: no rows. Very long texts: counted whole, and emitted at most
+    ``max_rate`` times. Sources whose cap / weight are equal: by name.
     Clashing column names: the mix is computed beside the row, not in it.
 """
 

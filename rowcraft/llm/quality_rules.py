@@ -6,12 +6,15 @@ text, so the operator is a narrow projection: no shuffle, no Python.
 Defined results
     null or blank text: all counts 0, ``base_failed`` true, not kept.
     null ``doc_id`` and repeated rows: each row is judged on its own.
+    Empty table: no rows. A measure at its threshold passes. Very long texts: read
+    whole; windows are told apart in texts of up to 2^28 words.
     Columns of the input whose names clash with a measure's are replaced in
     ``measure``; ``keep_good`` returns the input's own columns only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,8 +58,8 @@ MIN_WORDS = 50
 _POSITION_BITS = 28
 
 
-def _repeat_words(tokens: Column) -> Column:
-    """Words covered by a 3-word window that occurs twice or more.
+def _repeat_words(tokens: Column) -> tuple[Column, int, Callable[[Column], Column]]:
+    """Sorted keys of 3-word windows, the mask of their places, and their text.
 
     Windows are hashed and sorted as longs (hash above, position below), so
     equal windows are neighbours. The few positions whose hash repeats are
