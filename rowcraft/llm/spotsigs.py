@@ -28,6 +28,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 
 from rowcraft.functions.arrow import map_arrow
 from rowcraft.llm.quality_rules import STOP_WORDS
-from rowcraft.llm.support import to_every_task
+from rowcraft.llm.support import materialise, to_every_task
 
 CHAIN = 2
 #: Two sets whose lengths can't give this likeness are not compared.
 PRUNED = 0.05
 #: Wholly equal rows up to this number of kinds are sent to every task.
 MOST_BROADCAST = 200_000
+#: Signatures of more than this share of all sets are not shuffled by value.
+FREQUENT = 0.001
 #: A content word this many after the last anchor anchors a spot itself, so
 #: that text with few common words is covered too.
 FAR = 4
@@ -55,6 +58,7 @@ RANGES = 4
 _ANCHORS = frozenset(w.encode() for w in STOP_WORDS)
 _TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LEAST = -(1 << 63)
+_ROUNDING = 1e-9
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
@@ -193,14 +197,32 @@ def _row(own: tuple, following: tuple, chain: int) -> tuple:
     return (None if key == _LEAST else key, len(text), digest, written(found), written(other), likeness(found, other, PRUNED), likeness(found, following[4], PRUNED))
 
 
+def _by_rarity(classes: DataFrame) -> DataFrame:
+    """(set_key, n, ordered): the signatures of each set, those of few sets first.
+
+    Any one order of all signatures finds all links; with the rare ones first few
+    sets meet. The most frequent signatures are not shuffled by their value: no
+    more than ``1 / FREQUENT`` times the mean size of a set can be that frequent.
+    """
+    each = classes.select("set_key", F.explode("spots").alias("spot"))
+    counts = materialise(each.groupBy("spot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "spot-counts")
+    least = FREQUENT * classes.count()
+    frequent = to_every_task(counts.filter(F.col("c") > least), "frequent-spots", MOST_BROADCAST)
+    others = each.join(frequent, "spot", "left_anti").join(counts.filter(F.col("c") <= least), "spot", "left")
+    known = each.join(frequent, "spot").unionByName(others)
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "spot"))).alias("ordered")
+    return known.groupBy("set_key").agg(ordered).select("set_key", F.size("ordered").alias("n"), F.col("ordered.spot").alias("ordered"))
+
+
 def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates: (doc_id, set_key, class_id), and links (a_key, b_key, a, b, likeness).
 
     A class is all documents of one signature set, known by its ``set_key``; its
     id is their least ``doc_id``, null if they have none. Sets are partitioned by
     length so that only neighbouring partitions can reach the threshold. Within
-    them two sets meet where they share a signature of their prefixes; sets this
-    alike must share one.
+    them two sets meet where they share a signature of their prefixes, rarest
+    first; sets this alike must share one. What is left of both sets after the
+    place where they meet must be enough, or they are not compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +231,19 @@ def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tupl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "spots"])
 
     sets = map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, spots array<long>")
-    sets = sets.withColumn("set_key", F.sha2(F.array_join(F.transform("spots", lambda s: s.cast("string")), ","), 256))
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("spots").alias("spots"))
+    sets = materialise(sets.withColumn("set_key", F.sha2(F.array_join(F.transform("spots", lambda s: s.cast("string")), ","), 256)), "spot-sets")
+    classes = materialise(sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("spots").alias("spots")), "spot-classes")
     members = sets.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "set_key", "class_id")
-    n = F.size("spots")
-    width = F.log(F.lit(1 / threshold))
-    sized = classes.select("set_key", "spots", n.alias("n"), F.floor(F.log(n.cast("double")) / width).alias("part"))
-    prefix = F.slice("spots", 1, n - F.ceil(n * threshold).cast("int") + 1)
-    left = sized.select("set_key", "n", "part", F.explode(prefix).alias("spot"))
-    right = left.select(F.col("set_key").alias("b_key"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "spot")
-    meet = left.join(right, ["part", "spot"]).filter((F.col("set_key") != F.col("b_key")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    n, width = F.col("n"), math.log(1 / threshold)
+    # Bounds are a little wider, so that rounding can't lose a link.
+    part = F.floor(F.log(n.cast("double")) / width + _ROUNDING).alias("part")
+    prefix = F.slice("ordered", 1, n - F.ceil(n * threshold - _ROUNDING).cast("int") + 1)
+    left = materialise(_by_rarity(classes).select("set_key", "n", part, F.posexplode(prefix).alias("at", "spot")), "prefixes")
+    right = left.select(F.col("set_key").alias("b_key"), F.col("n").alias("m"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "spot")
+    once = (F.col("part") != F.col("b_part")) | (F.col("set_key") < F.col("b_key"))
+    lengths = F.least("n", "m") >= threshold * F.greatest("n", "m") - _ROUNDING
+    enough = F.least(n - F.col("at"), F.col("m") - F.col("b_at")) >= threshold / (1 + threshold) * (n + F.col("m")) - _ROUNDING
+    meet = left.join(right, ["part", "spot"]).filter(once & lengths & enough)
     pairs = meet.select(F.least("set_key", "b_key").alias("a_key"), F.greatest("set_key", "b_key").alias("b_key")).distinct()
     one, two = (classes.select(F.col("set_key").alias(f"{k}_key"), F.col("class_id").alias(f"{k}_id"), F.col("spots").alias(f"{k}_spots")) for k in "ab")
     both = F.size(F.array_intersect("a_spots", "b_spots"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from rowcraft.llm import components, differencing, mixing, packing, quality_rules, sharding, simhash, spotsigs, substring_dedup
+from tests.llm.conftest import made
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -356,3 +357,29 @@ def test_spotsigs_pairs(odd):
     members, found = spotsigs.similar(mixed, 0.2)
     assert members.select("set_key").distinct().count() == 3 and members.count() == 4
     assert [(r.a, r.b) for r in found.collect()] == [(1, None)]
+
+
+def test_spotsigs_pairs_at_the_threshold(spark):
+    """Nested sets whose likeness is the threshold itself, where products round upwards."""
+    spots = [f"the word{k} next{k}" for k in range(100)]
+    docs = spark.createDataFrame([(k, " ".join(spots[:n])) for k, n in ((1, 55), (2, 100), (3, 54), (4, 29))], "doc_id long, text string")
+    _, found = spotsigs.similar(docs, 0.55)
+    assert sorted((r.a, r.b, r.likeness) for r in found.collect()) == [(1, 2, 0.55), (1, 3, 54 / 55)]
+
+
+def test_spotsigs_pairs_with_frequent_signatures(spark, monkeypatch):
+    """Signatures that most sets share are met last; links are those of all pairs."""
+    docs = spark.createDataFrame([(k, "the common words of every page here " * (k % 4) + made(k // 3, 40, 60) + f" the odd{k} end{k}" * (k % 3)) for k in range(90)] + [(900, None), (901, "")], "doc_id long, text string")
+    sets = {r.doc_id: frozenset(spotsigs.signatures(r.text or "").tolist()) for r in docs.collect()}
+    heads = {s: min(d for d in sets if sets[d] == s) for s in sets.values()}
+    expected = {(min(heads[x], heads[y]), max(heads[x], heads[y])) for x in heads for y in heads if x != y and len(x & y) / len(x | y) >= 0.5}
+    assert len(expected) > 20
+    for share, most in ((0.001, 200_000), (0.3, 200_000), (0.001, 0), (2.0, 200_000)):
+        monkeypatch.setattr(spotsigs, "FREQUENT", share)
+        monkeypatch.setattr(spotsigs, "MOST_BROADCAST", most)
+        assert {(r.a, r.b) for r in spotsigs.similar(docs, 0.5)[1].collect()} == expected
+
+
+def test_spotsigs_pairs_of_none(none):
+    members, found = spotsigs.similar(none)
+    assert members.count() == 0 and found.count() == 0
